@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -72,3 +73,24 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, values) -> DataFrame:
+    """``df`` with one more column; ``values`` makes its Arrow array from a record batch with all columns of ``df``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, values(batch)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def filter_arrow(df: DataFrame, mask) -> DataFrame:
+    """The rows of ``df`` for which ``mask``, made from a record batch, is true."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(mask(batch))
+
+    return df.mapInArrow(run, df.schema)

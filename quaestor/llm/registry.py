@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quaestor.llm import exact_dedup, mixing
+from quaestor.llm import exact_dedup, mixing, simhash
 
 _OPERATORS = {
     "op1_exact_dedup": exact_dedup,
+    "op5_simhash_near_dedup": simhash,
     "op6_mix_sources": mixing,
 }
 
