@@ -241,13 +241,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, fp), and for each distinct fp: component_id and keep_id, the smallest and largest ids of its component."""
+    """The rows (id, fp), and for each distinct fp: root, the fp that stands for its component, and the smallest and largest ids there."""
     rows = materialise(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ends = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("keep_id"))
-    return rows, materialise(rooted.select("fp", "root").join(ends, "root").select("fp", "component_id", "keep_id"))
+    return rows, materialise(rooted.select("fp", "root").join(ends, "root").select("fp", "root", "component_id", "keep_id"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -277,8 +277,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.array(np.array([fingerprint(t, shingle) for t in binary_values(batch.column(at))], np.uint64).view(np.int64))
 
     rest = with_arrow_column(listed(docs, shared, "left_semi", 2_000_000), fp, T.LongType(), values)
-    rest = rest.join(sized(found.select(F.col("fp").alias(fp), F.col("keep_id").alias(keep), F.col("component_id").alias(part))), fp)
-    rest = rest.filter(F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(keep))).dropDuplicates([keep, part])
+    rest = rest.join(sized(found.select(F.col("fp").alias(fp), F.col("keep_id").alias(keep), F.col("root").alias(part))), fp)
+    rest = rest.filter(F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(keep))).dropDuplicates([part])
     return single.unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
