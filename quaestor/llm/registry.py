@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quaestor.llm import exact_dedup, mixing, simhash
+from quaestor.llm import decontaminate, exact_dedup, mixing, simhash
 
 _OPERATORS = {
     "op1_exact_dedup": exact_dedup,
     "op5_simhash_near_dedup": simhash,
     "op6_mix_sources": mixing,
+    "op10_decontaminate": decontaminate,
 }
 
 
