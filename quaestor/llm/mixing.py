@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     cap = F.col("source_size") * F.lit(max_epochs)
     # Clamped sources come first in this order, so the first that isn't clamped sets the level for the rest.
     rows = rows.withColumn("clamped", F.col("weight") * F.col("left") >= cap * F.col("open"))
-    rest = rows.filter(~F.col("clamped")).agg(F.max_by(F.struct("left", "open"), F.struct("open")).alias("level"))
-    return rows.crossJoin(F.broadcast(rest)).select(
+    level = F.max(F.when(~F.col("clamped"), F.struct("open", "left"))).over(Window.partitionBy())
+    return rows.withColumn("level", level).select(
         "source",
         "source_size",
         F.when(F.col("clamped"), cap.cast("double")).otherwise(F.col("weight") * F.col("level.left") / F.col("level.open")).alias("target"),
