@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quaestor.llm import chat, decontaminate, exact_dedup, mixing, simhash
+from quaestor.llm import chat, decontaminate, exact_dedup, lm_score, mixing, simhash
 
 _OPERATORS = {
     "op1_exact_dedup": exact_dedup,
+    "op3_lm_score": lm_score,
     "op4_format_chat": chat,
     "op5_simhash_near_dedup": simhash,
     "op6_mix_sources": mixing,
