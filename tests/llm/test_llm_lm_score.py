@@ -127,7 +127,7 @@ def test_held_out_texts_gain_from_contexts(spark, sf_dir):
     """Against contexts of one byte; the word counts of ``base_score`` are beaten with more text (see README)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     long, short = (lm_score.score(docs, depth=d).filter("held_out").toPandas()["score"].sum() for d in (5, 1))
-    assert long > 0.75 * short
+    assert long > 0.9 * short
 
 
 def test_empty(spark):
