@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaestor.llm import chat, decontaminate, exact_dedup, langid, lm_score, mixing, simhash
+from quaestor.llm import chat, decontaminate, exact_dedup, langid, lm_score, mixing, quality, simhash
 
 _OPERATORS = {
     "op1_exact_dedup": exact_dedup,
@@ -10,6 +10,7 @@ _OPERATORS = {
     "op4_format_chat": chat,
     "op5_simhash_near_dedup": simhash,
     "op6_mix_sources": mixing,
+    "op7_quality_classifier": quality,
     "op8_language_id": langid,
     "op10_decontaminate": decontaminate,
 }
