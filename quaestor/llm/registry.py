@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quaestor.llm import chat, decontaminate, exact_dedup, langid, lm_score, mixing, quality, simhash
+from quaestor.llm import chat, decontaminate, exact_dedup, html_extract, langid, lm_score, mixing, quality, simhash
 
 _OPERATORS = {
     "op1_exact_dedup": exact_dedup,
+    "op2_html_extract": html_extract,
     "op3_lm_score": lm_score,
     "op4_format_chat": chat,
     "op5_simhash_near_dedup": simhash,
