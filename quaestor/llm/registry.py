@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaestor.llm import chat, decontaminate, exact_dedup, html_extract, langid, lm_score, mixing, quality, simhash
+from quaestor.llm import chat, decontaminate, exact_dedup, html_extract, langid, lm_score, mixing, quality, simhash, warc
 
 _OPERATORS = {
     "op1_exact_dedup": exact_dedup,
@@ -13,6 +13,7 @@ _OPERATORS = {
     "op6_mix_sources": mixing,
     "op7_quality_classifier": quality,
     "op8_language_id": langid,
+    "op9_warc_revisits": warc,
     "op10_decontaminate": decontaminate,
 }
 
