@@ -154,9 +154,10 @@ def as_records(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record; response_id is -1 where nothing was found."""
     found = resolve_revisits(as_records(read(spark, sf_dir, "pages")))
     text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(":", e["key"], e["value"]))), "|")
-    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "outcome", "response_id", "payload_sha256", text.alias("headers"))
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "outcome", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "payload_sha256", text.alias("headers"))
 
 
 SQL = r"""
@@ -173,7 +174,7 @@ f AS (SELECT r.*, p.page_id AS pid, p.tag AS ptag, p.sha AS psha, p.n AS pn
   FROM e r ASOF LEFT JOIN (SELECT * FROM e WHERE NOT revisit) p ON r.canonical_url = p.canonical_url AND r.page_id > p.page_id)
 SELECT page_id, canonical_url,
   CASE WHEN NOT revisit THEN 'full' WHEN pid IS NULL THEN 'missing' WHEN tag = ptag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  CASE WHEN NOT revisit THEN page_id WHEN tag = ptag THEN pid END AS response_id,
+  CASE WHEN NOT revisit THEN page_id WHEN tag = ptag THEN pid ELSE -1 END AS response_id,
   CASE WHEN NOT revisit THEN sha WHEN tag = ptag THEN psha END AS payload_sha256,
   CASE WHEN NOT revisit THEN 'content-length:' || n || '|content-type:text/html|date:' || page_id || '|etag:' || tag
     WHEN tag = ptag THEN 'cache-control:max-age=60|content-length:' || pn || '|content-type:text/html|date:' || page_id || '|etag:W/' || tag
