@@ -11,7 +11,8 @@ from quaestor.functions import text
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON arrays or objects, one file each; a file that is ``null`` or empty has no rows. Adds the file's name."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    whole = F.when(F.ltrim(F.regexp_replace("value", r"\s+", " ")).startswith("["), F.from_json("value", f"array<struct<{_fields(schema)}>>")).otherwise(
+    rows = rows.filter(~F.regexp_replace("value", r"^\s+|\s+$", "").isin("", "null"))
+    whole = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", f"array<struct<{_fields(schema)}>>")).otherwise(
         F.array(F.from_json("value", f"struct<{_fields(schema)}>"))
     )
     return rows.select("file", F.explode(F.filter(whole, lambda x: x.isNotNull())).alias("x")).select("file", "x.*")
