@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import binary_values
+from quaestor.llm.common import binary_values, map_arrow
 
 PAD = b"\n"
 #: Bytes that are turned to grams at once.
@@ -134,7 +134,7 @@ def count_grams(rows: DataFrame, depth: int, keys: int = 0, lower: bool = True)
         for k in range(len(tallies)):
             yield from out(k)
 
-    return rows.mapInArrow(run, "key int, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, run, "key int, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
 
 
 def threshold(counts: DataFrame, column: str, most: int, weight: str | None = None) -> int:

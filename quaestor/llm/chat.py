@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import read
+from quaestor.llm.common import map_arrow, read
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -138,7 +138,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str = TOKENIZER, part
         if batch:
             yield encode(batch)
 
-    return rows.mapInArrow(run, _FORMATTED)
+    return map_arrow(rows, run, _FORMATTED)
 
 
 def read_back(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], list[str]]:
@@ -183,7 +183,7 @@ def digests(parts: DataFrame) -> DataFrame:
         if open_ is not None:
             yield batch_of([row()])
 
-    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return map_arrow(parts, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"

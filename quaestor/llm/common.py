@@ -75,22 +75,25 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, values) -> DataFrame:
-    """``df`` with one more column; ``values`` makes its Arrow array from a record batch with all columns of ``df``."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+#: Rows of an Arrow batch: texts are long, and a task holds a batch in the JVM and in Python.
+BATCH_ROWS = 1000
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, values(batch)], [*batch.schema.names, name])
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_ROWS rows; a session that asks for fewer keeps its own number."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 
-def filter_arrow(df: DataFrame, mask) -> DataFrame:
-    """The rows of ``df`` for which ``mask``, made from a record batch, is true."""
+def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, values) -> DataFrame:
+    """``df`` with one more column; ``values`` makes its Arrow array from a record batch with all columns of ``df``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(mask(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, values(batch)], [*batch.schema.names, name])
+
+    return map_arrow(df, run, schema)
 
-    return df.mapInArrow(run, df.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import ascii_lower_sql, binary_values, free_name, materialise, read, sized, with_arrow_column
+from quaestor.llm.common import ascii_lower_sql, binary_values, free_name, map_arrow, materialise, read, sized, with_arrow_column
 
 WINDOW = 13
 #: Contaminated: at least one word in so many is hit.
@@ -211,7 +211,7 @@ def _pass(rows: DataFrame, shared, columns: str) -> DataFrame:
             own = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*own, "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, columns)
+    return map_arrow(rows, run, columns)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -302,7 +302,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 own[at] = pa.array(new, pa.binary()).cast(own[at].type)
             yield pa.RecordBatch.from_arrays(own, batch.schema.names[: len(columns)]).filter(keep)
 
-    return rows.mapInArrow(run, kind)
+    return map_arrow(rows, run, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm.bytegrams import BackoffModel, body, count_grams, mask
-from quaestor.llm.common import binary_values, id_remainder, materialise, read
+from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, read
 
 DEPTH = 4
 SAMPLE_DOCS = 1500
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, languages: list[str], model: BackoffModel | None,
             own_names = [c for i, c in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores)], [*own_names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:

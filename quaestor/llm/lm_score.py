@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm.bytegrams import GramTable, arrays, body, count_grams, largest_contexts, mask, pieces, shorter, sums, threshold
-from quaestor.llm.common import binary_values, id_remainder, materialise, read
+from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, read
 
 DEPTH = 5
 MAX_GRAMS = 1 << 20
@@ -63,7 +63,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 _LOG_HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(4096) + 0.5))])
@@ -264,7 +264,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "rest_n"])
 
     # Written, so that row numbers stay as they are.
-    scored = materialise(rows.mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<binary>, rest_n array<int>"))
+    scored = materialise(map_arrow(rows, run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<binary>, rest_n array<int>"))
     each = scored.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.rest_n").alias("times"))
     count = F.coalesce("n", F.lit(0))
     found = each.join(tokens, "token", "left").groupBy("row").agg(

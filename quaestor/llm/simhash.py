@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import binary_values, free_name, materialise, read, sized, with_arrow_column
+from quaestor.llm.common import binary_values, free_name, map_arrow, materialise, read, sized, with_arrow_column
 from quaestor.llm.components import components
 
 SHINGLE = 4
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, shingle) for t in binary_values(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return map_arrow(rows, run, "id long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -237,7 +237,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held is not None and len(held[0]):
             yield compare(held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import read
+from quaestor.llm.common import map_arrow, read
 
 BINS = 512
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -74,7 +74,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, position long, type string, url string, date string, status int, headers map<string,string>, payload binary")
+    return map_arrow(files, run, "file string, position long, type string, url string, date string, status int, headers map<string,string>, payload binary")
 
 
 def canonical_url(url: Column) -> Column:
