@@ -2,18 +2,21 @@
 
 A text is modelled as its words, lower-cased (A-Z), one space apart, and an end.
 Each context of 0 to DEPTH bytes codes the next byte as eight binary decisions,
-one Krichevsky-Trofimov estimator for each node of the byte's binary tree. A
-context's weighted probability is half its own estimate and half the product of
-its longer contexts'; with the counts of the training texts frozen, each context
-so gets a weight, and a byte's probability is the weighted mix of the estimates
-at all depths of its context.
-
-Counts of contexts and of tokens cover all training documents. Grams are counted
-in the tasks, added up by one shuffle, and shorter ones are made from longer. The
-model that is sent to the tasks holds at most MAX_GRAMS grams of each length,
-those of the most frequent contexts; that bound is a parameter of the model's
-size, not of what is counted. Token counts are whole: the HEAD_TOKENS most frequent are sent to the
-tasks, and every other token of a document is looked up by a join.
+one for each node on the byte's path in the binary tree of bytes. Every pair of
+context and node has a Krichevsky-Trofimov estimator, and a weighted probability
+that is half its own estimate and half the product of those of the same node in
+the longer contexts. With the counts of the training texts frozen, each pair so
+gets a weight, and a bit's probability is the weighted mix of the estimates at all
+depths of its context, up to the last one that training texts have.
+
+The tree is never in one place: nodes are rows, counted in the tasks and added up
+by shuffles, weighted from long contexts to short and mixed from short to long by
+joins, one for each depth. Grams of documents that aren't for training take part
+with count 0, so that the table that results holds the code length of every gram
+of every document; it grows with the corpus, and nothing is left out of it. The
+HEAD_GRAMS most frequent grams are sent to the tasks, and every other gram of a
+document is looked up by a join. Tokens are counted and looked up the same way,
+with the HEAD_TOKENS most frequent sent to the tasks.
 
 Defined cases: null texts are empty, that is, one end; a null id counts as an
 empty text in the split; rows that repeat are scored each; without training
@@ -24,18 +27,18 @@ gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from math import log2, log10
+from math import log, log2, log10, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.bytegrams import GramTable, arrays, body, count_grams, largest_contexts, mask, pieces, shorter, sums, threshold
+from quaestor.llm.bytegrams import GramTable, arrays, body, count_grams, mask, pieces, sums, threshold
 from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, read
 
 DEPTH = 5
-MAX_GRAMS = 1 << 20
+HEAD_GRAMS = 1 << 20
 HEAD_TOKENS = 200_000
 #: The documents with this remainder of crc32(id) are held out.
 FOLDS, HELD_OUT = 7, 2
@@ -66,161 +69,98 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-_LOG_HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(4096) + 0.5))])
-_LOG_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4097)))])
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3)
-
-
-def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Natural log of the KT probability of a sequence with ``a`` zeros and ``b`` ones."""
-    half = lambda n: np.where(n < 4096, _LOG_HALVES[np.minimum(n, 4095)], _log_gamma(n + 0.5) - 0.5723649429247001)
-    n = a + b
-    return half(a) + half(b) - np.where(n < 4096, _LOG_WHOLES[np.minimum(n, 4095)], _log_gamma(n + 1.0))
-
-
-def _starts(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-
-
-class ContextTree:
-    """Frozen context-tree weighting. counts[d]: (codes, n), sorted, of the grams with d bytes of context."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(counts) - 1
-        self.codes = [c[0] for c in counts]
-        self.upto = [np.r_[0, np.cumsum(c[1])] for c in counts]
-        self.contexts, self.stay, self.reach, self.full, self.mixed = [], [], [], [], []
-        own, estimates = [], []
-        for codes, n in counts:
-            context = codes >> np.uint64(8)
-            start = _starts(context)
-            log_own, estimate = np.zeros(len(start)), np.zeros(len(codes))
-            for k in range(8):
-                node = _starts(codes >> np.uint64(8 - k))
-                bit = (codes >> np.uint64(7 - k)) & np.uint64(1)
-                total = np.add.reduceat(n, node) if len(node) else n
-                ones = np.add.reduceat(np.where(bit == 1, n, 0), node) if len(node) else n
-                np.add.at(log_own, np.searchsorted(start, node, "right") - 1, _log_kt(total - ones, ones))
-                at = np.searchsorted(node, np.arange(len(codes)), "right") - 1
-                estimate += np.log((np.where(bit == 1, ones[at], total[at] - ones[at]) + 0.5) / (total[at] + 1.0))
-            own.append(log_own)
-            estimates.append(np.exp(estimate))
-            self.contexts.append(context[start])
-        weighted = own[-1]
-        shares = [np.ones(len(weighted))]  # of a context's own estimate in its weighted one
-        for d in range(self.depth - 1, -1, -1):
-            parent = np.searchsorted(self.contexts[d], self.contexts[d + 1] & np.uint64((1 << 8 * d) - 1))
-            below = np.bincount(parent, weighted, len(own[d]))
-            leaf = np.bincount(parent, minlength=len(own[d])) == 0
-            weighted = np.where(leaf, own[d], np.logaddexp(own[d], below) - np.log(2))
-            shares.append(np.where(leaf, 1.0, np.exp(np.minimum(0.0, own[d] - np.log(2) - weighted))))
-        shares.reverse()
-        mixed, reach = None, np.ones(len(shares[0]))
-        for d in range(self.depth + 1):
-            at = np.searchsorted(self.contexts[d], self.codes[d] >> np.uint64(8))
-            if d:
-                parent = np.searchsorted(self.contexts[d - 1], self.contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1))
-                reach = reach[parent] * (1 - shares[d - 1][parent])
-                shorter = mixed[np.searchsorted(self.codes[d - 1], self.codes[d] & np.uint64(mask(d - 1)))]
-            else:
-                shorter = 0.0
-            mixed = shorter + reach[at] * shares[d][at] * estimates[d]
-            self.mixed.append(mixed.astype(np.float32))  # up to this depth, if the context goes on
-            self.full.append((shorter + reach[at] * estimates[d]).astype(np.float32))  # if it ends here
-            self.reach.append(reach.astype(np.float32))
-            self.stay.append((reach * shares[d]).astype(np.float32))
-        self.tables = None
-
-    def _unseen(self, d: int, codes: np.ndarray) -> np.ndarray:
-        """The estimate of context ``codes >> 8`` for bytes that it hasn't seen: counts are sums over ranges of grams."""
-        low = (codes >> np.uint64(8)) << np.uint64(8)
-        count = lambda a, b: self.upto[d][np.searchsorted(self.codes[d], b)] - self.upto[d][np.searchsorted(self.codes[d], a)]
-        out, total = np.ones(len(codes)), count(low, low + np.uint64(256))
-        for k in range(1, 9):
-            width = np.uint64(1 << (8 - k))
-            at = codes >> np.uint64(8 - k) << np.uint64(8 - k)
-            part = count(at, at + width)
-            out *= (part + 0.5) / (total + 1.0)
-            total = part
-        return out
-
-    def probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of each gram's byte after its context."""
-        out, left = np.zeros(len(codes)), np.arange(len(codes))
-        gram = np.full((self.depth + 1, len(codes)), -1)
-        known = np.zeros((self.depth + 1, len(codes)), bool)
-        place = np.zeros((self.depth + 1, len(codes)), int)
-        for d in range(self.depth + 1):
-            own = codes & np.uint64(mask(d))
-            for found, where, what in ((gram, own, self.codes[d]), (place, own >> np.uint64(8), self.contexts[d])):
-                if len(what):
-                    at = np.minimum(np.searchsorted(what, where), len(what) - 1)
-                    same = what[at] == where
-                    found[d] = np.where(same, at, -1)
-                    if found is place:
-                        known[d] = same
-        known = np.logical_and.accumulate(known, axis=0)
-        last = known.sum(axis=0) - 1  # the depth at which the context ends
-        for d in range(self.depth + 1):
-            here = left[last >= d]
-            if not len(here):
-                break
-            seen = gram[d, here] >= 0
-            ends = last[here] == d
-            both = here[seen]
-            out[both] = np.where(ends[seen], self.full[d][gram[d, both]], self.mixed[d][gram[d, both]])
-            new = here[~seen]
-            if len(new):
-                weight = np.where(ends[~seen], self.reach[d][place[d, new]], self.stay[d][place[d, new]])
-                out[new] += weight * self._unseen(d, codes[new] & np.uint64(mask(d)))
-        out[last < 0] = 1 / 256
-        return out
-
-    def logs_of(self, codes: np.ndarray) -> np.ndarray:
-        """log2 of ``probability``; grams that were seen in the last of their contexts are looked up."""
-        if self.tables is None:  # once in each worker
-            self.tables = [(GramTable(g), GramTable(c), np.log2(f)) for g, c, f in zip(self.codes, self.contexts, self.full, strict=True)]
-        out, left, new = np.zeros(len(codes), np.float32), None, []
-        for d in range(self.depth, -1, -1):
-            own = codes if left is None else codes[left] & np.uint64(mask(d))
-            grams, contexts, logs = self.tables[d]
-            at = grams.find(own)
-            if left is None:
-                out = logs[np.maximum(at, 0)] if len(logs) else out
-                left = np.flatnonzero(at < 0)
-                own = own[left]
-            else:
-                out[left[at >= 0]] = logs[at[at >= 0]]
-                left, own = left[at < 0], own[at < 0]
-            ends = contexts.find(own >> np.uint64(8)) >= 0  # here, with a byte that it hasn't seen
-            new.append(left[ends])
-            left = left[~ends]
-        new = np.concatenate([*new, left])
-        if len(new):
-            rest, back = np.unique(codes[new], return_inverse=True)
-            out[new] = np.log2(self.probability(rest))[back]
-        return out
-
-    def score(self, bodies: list[bytes]) -> np.ndarray:
-        """log2 probability of each text."""
-        total = np.zeros(len(bodies))
-        for grams, first, end, owner in pieces(bodies, self.depth):
-            sums(self.logs_of(grams), first, end, owner, total)
-        return total
+def _log_gamma(x: Column) -> Column:
+    """Of x > 0, to about 12 digits: Stirling's series at x + 8."""
+    y, product = x + 8, x
+    for k in range(1, 8):
+        product = product * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
 
 
-def train(texts: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS) -> ContextTree:
-    """The model of all rows (text)."""
-    levels = [materialise(count_grams(texts, depth).select("code", "n"))]
-    for d in range(depth - 1, -1, -1):
-        levels.append(materialise(shorter(levels[-1], d)))
-    return ContextTree([tuple(arrays(level)) for level in largest_contexts(levels[::-1], max_grams)])
+def _log_kt(zeros: Column, ones: Column) -> Column:
+    """Natural log of the KT probability of a sequence with so many zeros and ones."""
+    x, y = zeros.cast("double"), ones.cast("double")
+    return F.when(zeros + ones == 0, 0.0).otherwise(_log_gamma(x + 0.5) + _log_gamma(y + 0.5) - log(pi) - _log_gamma(x + y + 1))
+
+
+def bits_of(grams: DataFrame, *more: str) -> DataFrame:
+    """Eight rows (node, bit) for each gram (code): the node has the context, the bits that are known, a 1 and zeros."""
+    known = "shiftleft(shiftright(code, 8 - k), 8 - k)"
+    rows = grams.select("code", *more, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return rows.select("code", *more, F.expr(f"{known} | shiftleft(1L, 7 - k)").alias("node"), F.expr("(shiftright(code, 7 - k) & 1) = 1").alias("bit"))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, head_tokens: int = HEAD_TOKENS) -> DataFrame:
+def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(code, bits), written: -log2 of the probability of each gram's byte after its context, from training counts (code, n)."""
+
+    def above(d: int) -> Column:
+        return F.col("node").bitwiseAND(F.lit(mask(d)).cast("long"))
+
+    n = F.col("n")
+    leaves = bits_of(grams, "n").groupBy("node").agg(F.sum(F.when(F.col("bit"), 0).otherwise(n)).alias("zeros"), F.sum(F.when(F.col("bit"), n).otherwise(0)).alias("ones"))
+    own = _log_kt(F.col("zeros"), F.col("ones"))
+    levels = [materialise(leaves.select("*", own.alias("weighted"), F.lit(1.0).alias("share")))]
+    for d in range(depth - 1, -1, -1):
+        rows = levels[-1].groupBy(above(d).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        rows = rows.withColumn("own", own)
+        both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - log(2)
+        rows = rows.withColumn("weighted", F.when(F.col("zeros") + F.col("ones") == 0, 0.0).otherwise(both))
+        # The part of a pair's own estimate in its weighted one.
+        levels.append(materialise(rows.select("node", "zeros", "ones", "weighted", F.exp(F.least(F.lit(0.0), F.col("own") - log(2) - F.col("weighted"))).alias("share"))))
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    last = None
+    for d, level in enumerate(reversed(levels)):
+        if last is None:
+            rows = level.withColumns({"before": F.lit(0.0), "reach": F.lit(1.0), "p0": F.lit(0.5)})
+        else:
+            parent = last.select(F.col("node").alias("parent"), F.col("mixed").alias("before"), F.col("left").alias("reach"), F.col("p").alias("p0"))
+            rows = level.withColumn("parent", above(d - 1)).join(parent, "parent")
+        # p: the probability of a 1 if the context goes no further; it doesn't where no training text has the pair.
+        rows = rows.select(
+            "node",
+            (F.col("before") + F.col("reach") * F.col("share") * one).alias("mixed"),
+            (F.col("reach") * (1 - F.col("share"))).alias("left"),
+            F.when(F.col("zeros") + F.col("ones") > 0, F.col("before") + F.col("reach") * one).otherwise(F.col("p0")).alias("p"),
+        )
+        last = rows if d == depth else materialise(rows)
+    p = F.when(F.col("bit"), F.col("p")).otherwise(1 - F.col("p"))
+    return materialise(bits_of(grams).join(last.select("node", "p"), "node").groupBy("code").agg((-F.sum(F.log2(p))).alias("bits")))
+
+
+def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(code, n, uses), written, from rows (learn: 0 or 1, text): counts in training texts and in all texts."""
+    counts = count_grams(rows, depth, keys=2)
+    return materialise(counts.groupBy("code").agg(F.sum(F.col("n") * F.col("key")).alias("n"), F.sum("n").alias("uses")))
+
+
+class Head:
+    """Code lengths of the most frequent grams."""
+
+    def __init__(self, codes: np.ndarray, bits: np.ndarray, depth: int):
+        self.codes, self.bits, self.depth, self.table = codes, bits, depth, None
+
+    def score(self, bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """For each text: the bits of its grams that are here, and the other grams with how often they occur."""
+        if self.table is None:  # once in each worker
+            self.table = GramTable(self.codes)
+        total, rest = np.zeros(len(bodies)), [[] for _ in bodies]
+        for grams, first, end, owner in pieces(bodies, self.depth):
+            at = self.table.find(grams)
+            bits = self.bits[np.maximum(at, 0)] if len(self.bits) else np.zeros(len(grams))
+            bits[at < 0] = 0
+            sums(bits, first, end, owner, total)
+            left = np.flatnonzero(at < 0)
+            run = np.searchsorted(end, left, "right")
+            inside = left >= first[run]  # not among the bytes before a run
+            left, run = left[inside], run[inside]
+            edge = np.flatnonzero(np.diff(run)) + 1
+            for part, r in zip(np.split(grams[left], edge), run[np.r_[0, edge]] if len(run) else (), strict=False):
+                rest[owner[r]].append(part)
+        found = [np.unique(np.concatenate(r), return_counts=True) if r else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for r in rest]
+        return total, [f[0] for f in found], [f[1] for f in found]
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, head_grams: int = HEAD_GRAMS, head_tokens: int = HEAD_TOKENS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (id_remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
@@ -232,7 +172,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     bottom = log10(total + distinct + 1)
     head = tokens.filter(F.col("n") >= threshold(tokens, "n", head_tokens)).toArrow()
     known = {t: n for t, n in zip(head.column("token").to_pylist(), head.column("n").to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((known, train(training.select("text"), depth, max_grams)))
+    grams = gram_counts(rows.select((~F.col("held_out")).cast("int").alias("learn"), "text"), depth)
+    lengths = code_lengths(grams, depth)
+    least = threshold(grams, "uses", head_grams)
+    frequent = grams.filter(F.col("uses") >= least).select("code").join(lengths, "code").select("code", "bits")
+    shared = spark.sparkContext.broadcast((known, Head(*arrays(frequent), depth)))
 
     def run(batches):
         from pyspark import TaskContext
@@ -257,28 +201,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 base.append(value)
                 rest.append(other)
                 rest_n.append(other_n)
-            scores = model.score([body(t) for t in texts]) * (1 / log2(10))
+            bits, codes, times = model.score([body(t) for t in texts])
             numbers = pa.array(np.arange(number, number + len(texts)))
             number += len(texts)
-            columns = [numbers, batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "rest_n"])
+            columns = [numbers, batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int32())), pa.array([c.view(np.int64) for c in codes], pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "bits", "rest", "rest_n", "codes", "codes_n"])
 
     # Written, so that row numbers stay as they are.
-    scored = materialise(map_arrow(rows, run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<binary>, rest_n array<int>"))
+    scored = materialise(map_arrow(rows, run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, bits double, rest array<binary>, rest_n array<int>, codes array<long>, codes_n array<long>"))
     each = scored.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.rest_n").alias("times"))
     count = F.coalesce("n", F.lit(0))
     found = each.join(tokens, "token", "left").groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(count + 1) - F.lit(bottom))).alias("more"),
         F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("also"),
     )
-    return scored.drop("rest", "rest_n").join(found, "row", "left").select(
+    rare = scored.select("row", F.explode(F.arrays_zip("codes", "codes_n")).alias("x")).select("row", F.col("x.codes").alias("code"), F.col("x.codes_n").alias("times"))
+    rare = rare.join(lengths, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("bits")).alias("more_bits"))
+    return scored.drop("rest", "rest_n", "codes", "codes_n").join(found, "row", "left").join(rare, "row", "left").select(
         "id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (-(F.col("bits") + F.coalesce("more_bits", F.lit(0.0))) / log2(10)).alias("score"),
     )
 
 

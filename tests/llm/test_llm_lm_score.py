@@ -23,80 +23,87 @@ def kt(a, b):
 
 
 def brute_tree(texts, depth):
-    """Context-tree weighting written down plainly: counts by context string, recursion over contexts."""
-    counts = defaultdict(Counter)
+    """Context-tree weighting written down plainly: counts by context string and known bits, recursion over contexts."""
+    counts = defaultdict(lambda: [0, 0])
+    contexts = {}
     for t in texts:
         s = b"\n" * depth + t
         for i in range(depth, len(s)):
+            bits = f"{s[i]:08b}"
             for d in range(depth + 1):
-                counts[s[i - d : i]][s[i]] += 1
-
-    def nodes(c):
-        for k in range(8):
-            for prefix in range(1 << k):
-                zeros = sum(n for b, n in counts[c].items() if b >> (8 - k) == prefix and not b >> (7 - k) & 1)
-                ones = sum(n for b, n in counts[c].items() if b >> (8 - k) == prefix and b >> (7 - k) & 1)
-                if zeros + ones:
-                    yield k, prefix, zeros, ones
-
-    own = {c: math.prod(kt(z, o) for _, _, z, o in nodes(c)) for c in list(counts)}
-
-    def weighted(c):
+                contexts[s[i - d : i]] = None
+                for k in range(8):
+                    counts[s[i - d : i], bits[:k]][int(bits[k])] += 1
+
+    def weighted(c, known):
+        if (c, known) not in counts:
+            return 1.0
+        own = kt(*counts[c, known])
         if len(c) == depth:
-            return own[c]
-        return 0.5 * own[c] + 0.5 * math.prod(weighted(x) for x in own if len(x) == len(c) + 1 and x[1:] == c)
+            return own
+        return 0.5 * own + 0.5 * math.prod(weighted(x, known) for x in contexts if len(x) == len(c) + 1 and x[1:] == c)
 
-    def estimate(c, byte):
-        p, here = 1.0, counts[c]
-        for k in range(8):
-            group = {b: n for b, n in here.items() if b >> (8 - k) == byte >> (8 - k)}
-            same = sum(n for b, n in group.items() if b >> (7 - k) == byte >> (7 - k))
-            p *= (same + 0.5) / (sum(group.values()) + 1)
-        return p
-
-    def probability(context, byte):
+    def one_bit(context, known, bit):
         out, left = 0.0, 1.0
+        if (b"", known) not in counts:
+            return 0.5
         for d in range(depth + 1):
             c = context[len(context) - d :]
-            if d == depth or context[len(context) - d - 1 :] not in own:
-                return out + left * estimate(c, byte)
-            stay = 0.5 * own[c] / weighted(c)
-            out += left * stay * estimate(c, byte)
+            estimate = (counts[c, known][bit] + 0.5) / (sum(counts[c, known]) + 1)
+            if d == depth or (context[len(context) - d - 1 :], known) not in counts:
+                return out + left * estimate
+            stay = 0.5 * kt(*counts[c, known]) / weighted(c, known)
+            out += left * stay * estimate
             left *= 1 - stay
 
+    def probability(context, byte):
+        bits = f"{byte:08b}"
+        return math.prod(one_bit(context, bits[:k], int(bits[k])) for k in range(8))
+
     return probability
 
 
-def levels(texts, depth):
-    tally = bytegrams.Tally()
-    for grams, first, end, _ in bytegrams.pieces(texts, depth):
-        tally.add(bytegrams.inside(grams, first, end))
-    out = [tally.take()]
-    for d in range(depth - 1, -1, -1):
-        codes, back = np.unique(out[-1][0] & np.uint64(bytegrams.mask(d)), return_inverse=True)
-        out.append((codes, np.bincount(back, out[-1][1]).astype(np.int64)))
-    return out[::-1]
+CONTEXTS = (b"\n\n", b"\na", b"ab", b"b ", b"zz", b"za", b"a\n", b"\xc3\xa9")
 
 
-def test_tree_equals_plain_recursion():
+def test_tree_equals_plain_recursion(spark):
     texts = [b"abab abba\n", b"ab ac ad\n", b"\n", "é ab\n".encode()]
-    model, plain = lm_score.ContextTree(levels(texts, 2)), brute_tree(texts, 2)
-    for context in (b"\n\n", b"\na", b"ab", b"b ", b"zz", b"za", b"a\n", b"\xc3\xa9"):
-        codes = np.array([context[0] << 16 | context[1] << 8 | b for b in range(256)], np.uint64)
-        got = model.probability(codes)
-        assert np.allclose(got, [plain(context, b) for b in range(256)], rtol=1e-5)
-        assert np.allclose(2.0 ** model.logs_of(codes), got, rtol=1e-5)
-        assert abs(got.sum() - 1) < 1e-5
+    rows = spark.createDataFrame([(1, t.decode()) for t in texts], "learn int, text string")
+    seen = lm_score.gram_counts(rows, 2)
+    asked = spark.createDataFrame([(c[0] << 16 | c[1] << 8 | b, 0) for c in CONTEXTS for b in range(256)], "code long, n long")
+    grams = seen.select("code", "n").unionByName(asked).groupBy("code").sum("n").toDF("code", "n")
+    got, plain = dict(lm_score.code_lengths(grams, 2).collect()), brute_tree(texts, 2)
+    for c in CONTEXTS:
+        p = [2.0 ** -got[c[0] << 16 | c[1] << 8 | b] for b in range(256)]
+        assert np.allclose(p, [plain(c, b) for b in range(256)], rtol=1e-9)
+        assert abs(sum(p) - 1) < 1e-9
+
+
+def test_whole_texts_equal_plain_recursion_for_any_head(spark, monkeypatch):
+    docs = [(k, " ".join(random.Random(k).choices(["ab", "b", "Ba", "é", "cab"], k=k % 7))) for k in range(30)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    plain = brute_tree([bytegrams.body(t.encode()) for i, t in docs if not held(i)], 2)
+
+    def want(t):
+        s = b"\n\n" + bytegrams.body(t.encode())
+        return sum(math.log10(plain(s[i - 2 : i], s[i])) for i in range(2, len(s)))
+
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in docs], SCHEMA)
+    for head in (1 << 20, 10, 0):
+        got = {r.id: r.score for r in lm_score.score(df, depth=2, head_grams=head).collect()}
+        assert all(math.isclose(got[i], want(t), rel_tol=1e-9) for i, t in docs)
 
 
 def test_pieces_do_not_change_scores(monkeypatch):
     rng = random.Random(0)
     texts = [bytes(rng.choice(b"ab c") for _ in range(rng.randrange(1, 900))) + b"\n" for _ in range(20)]
-    model = lm_score.ContextTree(levels(texts, 3))
-    whole = model.score(texts)
+    codes = np.unique(np.concatenate([bytegrams.inside(g, f, e) for g, f, e, _ in bytegrams.pieces(texts, 3)]))
+    head = lm_score.Head(codes[::2], np.arange(len(codes[::2])) + 1.0, 3)
+    whole = head.score(texts)
     monkeypatch.setattr(bytegrams, "PIECE", 100)
-    assert np.allclose(model.score(texts), whole, rtol=1e-6)
-    assert [x.tolist() for x in levels(texts, 3)[3]] == [x.tolist() for x in (monkeypatch.undo(), levels(texts, 3)[3])[1]]
+    parts = head.score(texts)
+    assert np.allclose(parts[0], whole[0])
+    assert [x.tolist() for k in (1, 2) for x in parts[k]] == [x.tolist() for k in (1, 2) for x in whole[k]]
 
 
 def documents():
