@@ -9,9 +9,9 @@ the longer contexts. With the counts of the training texts frozen, each pair so
 gets a weight, and a bit's probability is the weighted mix of the estimates at all
 depths of its context, up to the last one that training texts have.
 
-The tree is never in one place: nodes are rows, counted in the tasks and added up
-by shuffles, weighted from long contexts to short and mixed from short to long by
-joins, one for each depth. Grams of documents that aren't for training take part
+The tree is never in one place: grams are counted in the tasks and added up by a
+shuffle, dealt out by the last bytes of their contexts, and weighted from long
+contexts to short and mixed from short to long. Grams of documents that aren't for training take part
 with count 0, so that the table that results holds the code length of every gram
 of every document; it grows with the corpus, and nothing is left out of it. The
 HEAD_GRAMS most frequent grams are sent to the tasks, and every other gram of a
@@ -69,43 +69,115 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _log_gamma(x: Column) -> Column:
-    """Of x > 0, to about 12 digits: Stirling's series at x + 8."""
+def _log_gamma(x, ln):
+    """Of x > 0, a column or an array, to about 12 digits: Stirling's series at x + 8."""
     y, product = x + 8, x
     for k in range(1, 8):
         product = product * (x + k)
-    return (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
+    return (y - 0.5) * ln(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - ln(product)
 
 
-def _log_kt(zeros: Column, ones: Column) -> Column:
-    """Natural log of the KT probability of a sequence with so many zeros and ones."""
-    x, y = zeros.cast("double"), ones.cast("double")
-    return F.when(zeros + ones == 0, 0.0).otherwise(_log_gamma(x + 0.5) + _log_gamma(y + 0.5) - log(pi) - _log_gamma(x + y + 1))
+def _log_kt(x, y, ln):
+    """Natural log of the KT probability of a sequence with ``x`` zeros and ``y`` ones (doubles)."""
+    return _log_gamma(x + 0.5, ln) + _log_gamma(y + 0.5, ln) - log(pi) - _log_gamma(x + y + 1, ln)
 
 
-def bits_of(grams: DataFrame, *more: str) -> DataFrame:
-    """Eight rows (node, bit) for each gram (code): the node has the context, the bits that are known, a 1 and zeros."""
-    known = "shiftleft(shiftright(code, 8 - k), 8 - k)"
-    rows = grams.select("code", *more, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    return rows.select("code", *more, F.expr(f"{known} | shiftleft(1L, 7 - k)").alias("node"), F.expr("(shiftright(code, 7 - k) & 1) = 1").alias("bit"))
+class _Level:
+    """Nodes of one depth: context, the bits that are known, a 1 and zeros, in one number."""
+
+    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.nodes, self.zeros, self.ones = nodes, zeros, ones
+        self.known = zeros + ones > 0
+        own = np.where(self.known, _log_kt(zeros, ones, np.log), 0.0)
+        self.weighted = own if below is None else np.where(self.known, np.logaddexp(own, below) - log(2), 0.0)
+        # The part of a pair's own estimate in its weighted one.
+        self.share = np.ones(len(own)) if below is None else np.exp(np.minimum(0.0, own - log(2) - self.weighted))
+
+
+def subtrees(codes: np.ndarray, n: np.ndarray, depth: int, top: int):
+    """The levels from ``depth`` to ``top`` of whole subtrees, with each node's place in the next level, and each gram's eight nodes and bits."""
+    nodes = np.concatenate([codes >> np.uint64(8 - k) << np.uint64(8 - k) | np.uint64(1 << (7 - k)) for k in range(8)])
+    bits = np.concatenate([(codes >> np.uint64(7 - k) & np.uint64(1)).astype(bool) for k in range(8)])
+    times = np.tile(n.astype(float), 8)
+    unique, place = np.unique(nodes, return_inverse=True)
+    size = len(unique)
+    levels = [_Level(unique, np.bincount(place[~bits], times[~bits], size), np.bincount(place[bits], times[bits], size), None)]
+    ups = []
+    for d in range(depth - 1, top - 1, -1):
+        last = levels[-1]
+        unique, up = np.unique(last.nodes & np.uint64(mask(d)), return_inverse=True)
+        levels.append(_Level(unique, *(np.bincount(up, x, len(unique)) for x in (last.zeros, last.ones, last.weighted))))
+        ups.append(up)
+    return levels, ups, place, bits
+
+
+def _by_subtree(rows: DataFrame, top: int, made, schema: str) -> DataFrame:
+    """``made`` on whole subtrees of ``top`` bytes of context, from rows whose first column is a gram or a node."""
+    context = F.shiftrightunsigned(rows.columns[0], 8).bitwiseAND(F.lit((1 << 8 * top) - 1).cast("long"))
+    dealt = rows.withColumn("subtree", context).repartition("subtree").sortWithinPartitions("subtree")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
+            done = int((held[-1] != held[-1][-1]).sum())  # the last subtree may go on in the next batch
+            if done >= 100_000:
+                yield made([x[:done] for x in held])
+                held = [x[done:] for x in held]
+        if held is not None and len(held[0]):
+            yield made(held)
+
+    return map_arrow(dealt, run, schema)
+
+
+#: Bytes of context of the subtrees that are weighted and mixed in one place each.
+SUBTREE = 2
 
 
 def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(code, bits), written: -log2 of the probability of each gram's byte after its context, from training counts (code, n)."""
+    """(code, bits), written: -log2 of the probability of each gram's byte after its context, from training counts (code, n).
+
+    Subtrees of two bytes of context are weighted first, each by itself; the levels
+    above them are weighted and mixed by joins; then the subtrees are mixed.
+    """
+    top = min(SUBTREE, depth)
 
     def above(d: int) -> Column:
         return F.col("node").bitwiseAND(F.lit(mask(d)).cast("long"))
 
-    n = F.col("n")
-    leaves = bits_of(grams, "n").groupBy("node").agg(F.sum(F.when(F.col("bit"), 0).otherwise(n)).alias("zeros"), F.sum(F.when(F.col("bit"), n).otherwise(0)).alias("ones"))
-    own = _log_kt(F.col("zeros"), F.col("ones"))
-    levels = [materialise(leaves.select("*", own.alias("weighted"), F.lit(1.0).alias("share")))]
-    for d in range(depth - 1, -1, -1):
+    def weigh(columns):
+        codes, n = columns[0].view(np.uint64), columns[1]
+        order = np.argsort(codes)
+        level = subtrees(codes[order], n[order], depth, top)[0][-1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (level.nodes.view(np.int64), level.zeros, level.ones, level.weighted, level.share)], ["node", "zeros", "ones", "weighted", "share"])
+
+    def mixed(columns):
+        codes, n, before, left, p, _ = columns
+        gram = np.isnan(p)
+        nodes, own = codes[~gram].view(np.uint64), codes[gram].view(np.uint64)
+        order = np.argsort(own)
+        own = own[order]
+        levels, ups, place, bits = subtrees(own, n[gram][order], depth, top)
+        order = np.argsort(nodes)  # the same nodes as those of the top level
+        before, left, p = (x[~gram][order] for x in (before, left, p))
+        for level, up in zip(levels[-2::-1], ups[::-1], strict=True):
+            one = (level.ones + 0.5) / (level.zeros + level.ones + 1)
+            before, left, p = before[up], left[up], p[up]
+            p = np.where(level.known, before + left * one, p)
+            before, left = before + left * level.share * one, left * (1 - level.share)
+        found = np.where(bits, p[place], 1 - p[place])
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(-np.log2(found).reshape(8, -1).sum(axis=0))], ["code", "bits"])
+
+    levels = [materialise(_by_subtree(grams.select("code", "n"), top, weigh, "node long, zeros double, ones double, weighted double, share double"))]
+    seen = F.col("zeros") + F.col("ones") > 0
+    for d in range(top - 1, -1, -1):
         rows = levels[-1].groupBy(above(d).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-        rows = rows.withColumn("own", own)
+        rows = rows.withColumn("own", F.when(seen, _log_kt(F.col("zeros"), F.col("ones"), F.log)).otherwise(0.0))
         both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - log(2)
-        rows = rows.withColumn("weighted", F.when(F.col("zeros") + F.col("ones") == 0, 0.0).otherwise(both))
-        # The part of a pair's own estimate in its weighted one.
+        rows = rows.withColumn("weighted", F.when(seen, both).otherwise(0.0))
         levels.append(materialise(rows.select("node", "zeros", "ones", "weighted", F.exp(F.least(F.lit(0.0), F.col("own") - log(2) - F.col("weighted"))).alias("share"))))
     one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
     last = None
@@ -116,15 +188,15 @@ def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
             parent = last.select(F.col("node").alias("parent"), F.col("mixed").alias("before"), F.col("left").alias("reach"), F.col("p").alias("p0"))
             rows = level.withColumn("parent", above(d - 1)).join(parent, "parent")
         # p: the probability of a 1 if the context goes no further; it doesn't where no training text has the pair.
-        rows = rows.select(
+        last = rows.select(
             "node",
             (F.col("before") + F.col("reach") * F.col("share") * one).alias("mixed"),
             (F.col("reach") * (1 - F.col("share"))).alias("left"),
-            F.when(F.col("zeros") + F.col("ones") > 0, F.col("before") + F.col("reach") * one).otherwise(F.col("p0")).alias("p"),
+            F.when(seen, F.col("before") + F.col("reach") * one).otherwise(F.col("p0")).alias("p"),
         )
-        last = rows if d == depth else materialise(rows)
-    p = F.when(F.col("bit"), F.col("p")).otherwise(1 - F.col("p"))
-    return materialise(bits_of(grams).join(last.select("node", "p"), "node").groupBy("code").agg((-F.sum(F.log2(p))).alias("bits")))
+    none = F.lit(float("nan"))
+    rows = grams.select("code", "n", none.alias("mixed"), none.alias("left"), none.alias("p")).unionByName(last.select(F.col("node").alias("code"), F.lit(0).cast("long").alias("n"), "mixed", "left", "p"))
+    return materialise(_by_subtree(rows, top, mixed, "code long, bits double"))
 
 
 def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
