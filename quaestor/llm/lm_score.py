@@ -38,7 +38,7 @@ from quaestor.llm.bytegrams import GramTable, arrays, body, count_grams, mask, p
 from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, read
 
 DEPTH = 5
-HEAD_GRAMS = 1 << 20
+HEAD_GRAMS = 1 << 21
 HEAD_TOKENS = 200_000
 #: The documents with this remainder of crc32(id) are held out.
 FOLDS, HELD_OUT = 7, 2
