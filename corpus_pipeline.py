@@ -1,4 +1,4 @@
-"""From raw documents to a mixture: five stages, each of them one operator of ``quaestor.llm``.
+"""From raw documents to a mixture: five stages, each of them from ``quaestor.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the rows of
 ``docs`` that stay with the columns of ``docs``, in the last stage each row as
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from quaestor.llm import decontaminate, exact_dedup, mixing, near_copies, quality
 from quaestor.llm.common import materialise, read
 
 
@@ -24,8 +24,8 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints."""
-    return simhash.drop_near_copies(docs)
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_text),
     ("exact dedup", no_copies),
-    ("simhash near-dedup", no_near_copies),
+    ("shingle near-dedup", no_near_copies),
     ("benchmark decontamination", no_benchmark),
     ("mixing to target weights", mixture),
 ]
 
-#: Perplexities and fingerprints are beyond SQL; tests/llm holds the stages against plain versions.
+#: Perplexities and similarities are beyond SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 

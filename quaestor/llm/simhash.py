@@ -259,6 +259,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that with the largest id. Rows that share an id are told apart by their texts."""
     rows, found = classes(docs, id_col, text_col, shingle, radius)
+
+    def signed(text: bytes | None) -> int:
+        value = fingerprint(text, shingle)
+        return value - (1 << 64) if value >> 63 else value
+
+    return keep_one(docs, rows, found, signed, id_col, text_col)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, found: DataFrame, node_of, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component. rows: (id, fp) of the documents; found: (fp, root, keep_id); node_of: the fp of a text's bytes."""
     shared = materialise(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
     member = rows.join(sized(found), "fp").filter(~F.col("id").eqNullSafe(F.col("keep_id")))
     n_shared = shared.count()
@@ -274,7 +284,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at, fp, keep, part = docs.columns.index(text_col), *(free_name(docs, x) for x in ("fp", "keep", "part"))
 
     def values(batch):
-        return pa.array(np.array([fingerprint(t, shingle) for t in binary_values(batch.column(at))], np.uint64).view(np.int64))
+        return pa.array([node_of(t) for t in binary_values(batch.column(at))], pa.int64())
 
     rest = with_arrow_column(listed(docs, shared, "left_semi", 2_000_000), fp, T.LongType(), values)
     rest = rest.join(sized(found.select(F.col("fp").alias(fp), F.col("keep_id").alias(keep), F.col("root").alias(part))), fp)
