@@ -1,11 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-For each host, at most SAMPLE_PAGES pages (the shortest of each of as many hash
-classes) are aligned with the first by simple tree matching. Nodes that are
-matched in all and say the same are the host's template; matched nodes that
-differ, and nodes without a match, are its slots. The wrapper is the set of
-template texts and the path of the deepest element that holds most of the slots'
-text.
+All pages of a host are aligned, in batches of at most BATCH, with the batch's
+page of median length by simple tree matching. How many pages have a text block
+in the same place, saying the same, is added up over all batches; blocks with a
+share of SUPPORT of the host's pages are its template. Other nodes are its slots.
+The wrapper is the set of template texts and the path of the deepest element that
+holds most of the slots' text, over all batches.
 
 On a page, an article or main element wins over the wrapper's path, since a
 passage that a host repeats inside its articles belongs to them, and a menu that
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.common import map_arrow, materialise, read, sized
 
-SAMPLE_PAGES = 4
+#: Pages that one alignment holds at a time.
+BATCH = 16
+#: Of a host's pages, what must say the same for a template.
+SUPPORT = 0.5
 #: Of the slots' text, what the container must hold.
 MOST = 0.6
 
@@ -48,13 +52,15 @@ WHOLE = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "_text")
+    __slots__ = ("tag", "attrs", "children", "parent", "_text", "_label")
 
     def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.children, self.parent, self._text = tag, attrs, [], parent, None
+        self.tag, self.attrs, self.children, self.parent, self._text, self._label = tag, attrs, [], parent, None, None
 
     def label(self) -> str:
-        return f"{self.tag}.{'.'.join(sorted((self.attrs.get('class') or '').split()))}"
+        if self._label is None:
+            self._label = f"{self.tag}.{'.'.join(sorted((self.attrs.get('class') or '').split()))}"
+        return self._label
 
     def text(self) -> str:
         if self._text is None:
@@ -190,31 +196,63 @@ def align(a: Node, b: Node, matched: dict) -> int:
     return total
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of same-host pages: template texts by path, and the path of the content."""
-    roots = [parse(p) for p in pages]
-    if len(roots) < 2:
-        return {"template": [], "container": []}
-    first, maps = roots[0], []
-    for other in roots[1:]:
+def is_block_of_text(node: Node) -> bool:
+    return node.parent is not None and not any(c.tag in BLOCK for c in node.elements())
+
+
+def counts(pages: list[str]) -> tuple[dict, dict]:
+    """What one batch of a host's pages says: (path, text) -> pages that have it there; path -> size of the slots' text below it."""
+    roots = sorted((parse(p) for p in pages), key=lambda r: (len(r.text()), r.text()))
+    first = roots.pop(len(roots) // 2)
+    agree = {n: 1 for n in walk(first) if n.text()}
+    for other in roots:
         matched: dict = {}
         align(first, other, matched)
-        maps.append(matched)
-    constant = {n for n in walk(first) if n.text() and all(n in m and m[n].text() == n.text() for m in maps)}
+        for n, m in matched.items():
+            if n in agree and m.text() == n.text():
+                agree[n] += 1
+    same: dict = {}
+    for n, k in agree.items():
+        if is_block_of_text(n):
+            key = ("/".join(n.path()), n.text())
+            same[key] = max(same.get(key, 0), k)
+    if not roots:
+        return same, {}
     varying = {n: 0 for n in walk(first)}
-    for n in walk(first):
-        size = sum(len(c.strip()) for c in n.children if isinstance(c, str)) if n not in constant else 0
+    for n in varying:
+        constant = agree.get(n, 0) >= max(2, SUPPORT * (len(roots) + 1))
+        size = sum(len(c.strip()) for c in n.children if isinstance(c, str)) if not constant else 0
         if size and not dropped(n) and not any(dropped(x) for x in above(n) if x.parent is not None):
             for x in (n, *above(n)):
                 varying[x] += size
-    total, container = varying[first], first
-    while total:
-        inner = [c for c in container.elements() if varying[c] >= MOST * total and c.elements()]
-        if not inner or inner[0].tag in ("p", "h1", "h2", "h3", "ul", "table"):
+    sizes: dict = {}
+    for n, size in varying.items():
+        if size and n.elements():
+            sizes[n.path()] = max(sizes.get(n.path(), 0), size)
+    return same, sizes
+
+
+def conclude(same: dict, sizes: dict, n_pages: int) -> dict:
+    """The wrapper of a host from the sums of its batches' counts."""
+    template = sorted(k for k, n in same.items() if n >= max(2, SUPPORT * n_pages))
+    container: tuple = ()
+    while total := sizes.get((), 0):
+        inner = [p for p, n in sizes.items() if len(p) == len(container) + 1 and p[:-1] == container and n >= MOST * total]
+        if not inner or (best := max(inner, key=lambda p: (sizes[p], p)))[-1].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "table"):
             break
-        container = inner[0]
-    template = sorted({("/".join(n.path()), n.text()) for n in constant if n.parent is not None and not n.elements()})
-    return {"template": template, "container": list(container.path())}
+        container = best
+    return {"template": template, "container": list(container)}
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of same-host pages: template texts by path, and the path of the content."""
+    if len(pages) < 2:
+        return {"template": [], "container": []}
+    same, sizes = Counter(), Counter()
+    for at in range(0, len(pages), BATCH):
+        for total, part in zip((same, sizes), counts(pages[at : at + BATCH]), strict=True):
+            total.update(part)
+    return conclude(same, sizes, len(pages))
 
 
 def main_element(root: Node, wrapper: dict) -> tuple[Node, bool]:
@@ -254,7 +292,7 @@ def main_text(html: str | None, wrapper: dict | None = None) -> str:
             line.append(one)
         elif one.tag == "br":
             line.append(" ")
-        elif one is main or not dropped(one) and not (template and not one.elements() and ("/".join(one.path()), one.text()) in template):
+        elif one is main or not dropped(one) and not (template and is_block_of_text(one) and ("/".join(one.path()), one.text()) in template):
             if one.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -264,15 +302,48 @@ def main_text(html: str | None, wrapper: dict | None = None) -> str:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from rows (page_id, host, html); a host's pages meet in at most SAMPLE_PAGES at a time."""
-    length = F.struct(F.length("html").alias("n"), F.xxhash64("page_id", "html").alias("h"))
-    part = F.pmod(F.xxhash64("page_id"), F.lit(SAMPLE_PAGES)).alias("part")
-    few = pages.filter("html IS NOT NULL AND html <> ''").groupBy("host", part).agg(F.min_by("html", length).alias("html"))
-    few = few.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("pages"))
+    """(host, wrapper) from rows (host, html). All pages are aligned, at most BATCH of a host at a time; a repeated page counts once."""
+    pages = pages.filter("html IS NOT NULL AND html <> ''").select("host", "html", F.xxhash64("html").alias("hash"))
+    per_host = materialise(pages.select("host", "hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter("pages > 1"))
+    parts = F.ceil(F.col("pages") / F.lit(4 * BATCH)).cast("int")
+    dealt = pages.join(sized(per_host), "host").select("host", F.pmod(F.xxhash64("hash"), parts).alias("part"), "hash", "html")
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "hash", "html").select("host", "part", "html")
+
+    def count(batches):
+        def told(host, group):
+            same, sizes = counts(group)
+            rows = [(host, "same", p, t, n) for (p, t), n in same.items()] + [(host, "size", json.dumps(p), "", n) for p, n in sizes.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.string()] * 4 + [pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "kind", "path", "text", "n"])
+
+        at, last, group = None, None, []
+        for batch in batches:
+            for host, part, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at == (host, part) and html == last:
+                    continue
+                if group and (at != (host, part) or len(group) == BATCH):
+                    yield told(at[0], group)
+                    group = []
+                at, last = (host, part), html
+                group.append(html)
+        if group:
+            yield told(at[0], group)
+
+    sums = map_arrow(dealt, count, "host string, kind string, path string, text string, n long").groupBy("host", "kind", "path", "text").agg(F.sum("n").alias("n"))
+    sums = materialise(sums)
+    whole = sums.filter("kind = 'size' AND path = '[]'").select("host", F.col("n").alias("total"))
+    few = sums.join(sized(per_host), "host").join(sized(materialise(whole)), "host", "left")
+    few = few.filter(F.when(F.col("kind") == "same", (F.col("n") >= 2) & (F.col("n") >= SUPPORT * F.col("pages"))).otherwise(F.col("n") >= MOST * F.col("total")))
+    few = few.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("kind", "path", "text", "n")).alias("told"))
 
     def run(batches):
         for batch in batches:
-            made = [json.dumps(induce(p)) for p in batch.column(1).to_pylist()]
+            made = []
+            for n_pages, told in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                same = {(x["path"], x["text"]): x["n"] for x in told if x["kind"] == "same"}
+                sizes = {tuple(json.loads(x["path"])): x["n"] for x in told if x["kind"] == "size"}
+                made.append(json.dumps(conclude(same, sizes, n_pages)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "wrapper"])
 
     return map_arrow(few, run, "host string, wrapper string")
@@ -282,7 +353,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host.alias("host"))
-    found = materialise(wrappers(rows.select("page_id", "host", "html")))
+    found = materialise(wrappers(rows.select("host", "html")))
     both = rows.join(sized(found, limit=20_000), "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches):
