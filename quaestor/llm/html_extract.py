@@ -7,13 +7,13 @@ share of SUPPORT of the host's pages are its template. Other nodes are its slots
 The wrapper is the set of template texts and the path of the deepest element that
 holds most of the slots' text, over all batches.
 
-On a page, an article or main element wins over the wrapper's path, since a
-passage that a host repeats inside its articles belongs to them, and a menu that
-changes from page to page doesn't: alignment alone would take both for the
-opposite. In pages without such an element, the wrapper's path is the container
-and template nodes go. In either case, menus, headers, footers, side bars,
+On a page, an article or main element wins over the wrapper's path, as a menu that
+changes from page to page isn't content. In pages without such an element, the
+wrapper's path is the container. Template nodes go in either case; but inside an
+article or main element only those that FIRM pages have, and none if nothing
+would be left. In either case, menus, headers, footers, side bars,
 notices, adverts, forms, comments, scripts and styles inside it go by tag, role
-and class.
+and class; an article that is in no other article is never judged by its class.
 
 Defined cases: null or empty html gives an empty text; a null url, or one
 without a host, is of the host ''; pages that were cut off are read as far as
@@ -37,6 +37,8 @@ from quaestor.llm.common import map_arrow, materialise, read, sized
 BATCH = 16
 #: Of a host's pages, what must say the same for a template.
 SUPPORT = 0.5
+#: Pages of a host that must say the same, besides, for a template inside articles.
+FIRM = 4
 #: Of the slots' text, what the container must hold.
 MOST = 0.6
 
@@ -130,6 +132,8 @@ def dropped(node: Node) -> bool:
         return True
     if tag in WHOLE and tag != "article":
         return False
+    if tag == "article" and not any(a.tag == "article" for a in above(node)):
+        return False
     names = set(re.findall(r"[a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())) if "class" in attrs or "id" in attrs else set()
     if tag == "header" or "header" in names:  # the header of an article holds its title
         return not any(n.tag == "h1" for n in walk(node)) or not any(a.tag in ("article", "main") for a in above(node))
@@ -241,13 +245,13 @@ def conclude(same: dict, sizes: dict, n_pages: int) -> dict:
         if not inner or (best := max(inner, key=lambda p: (sizes[p], p)))[-1].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "table"):
             break
         container = best
-    return {"template": template, "container": list(container)}
+    return {"template": template, "firm": [k for k in template if same[k] >= FIRM], "container": list(container)}
 
 
 def induce(pages: list[str]) -> dict:
     """The wrapper of same-host pages: template texts by path, and the path of the content."""
     if len(pages) < 2:
-        return {"template": [], "container": []}
+        return {"template": [], "firm": [], "container": []}
     same, sizes = Counter(), Counter()
     for at in range(0, len(pages), BATCH):
         for total, part in zip((same, sizes), counts(pages[at : at + BATCH]), strict=True):
@@ -275,7 +279,12 @@ def main_text(html: str | None, wrapper: dict | None = None) -> str:
     root = parse(html)
     wrapper = wrapper or {}
     main, by_wrapper = main_element(root, wrapper)
-    template = {tuple(x) for x in wrapper.get("template", ())} if by_wrapper else set()
+    template = {tuple(x) for x in wrapper.get("template" if by_wrapper else "firm", ())}
+    return _blocks(main, template, by_wrapper) or ("" if by_wrapper else _blocks(main, set(), False))
+
+
+def _blocks(main: Node, template: set, inline: bool) -> str:
+    """The text below ``main`` without the template, of which inline elements only go if ``inline``."""
     blocks, line = [], []
 
     def flush():
@@ -292,7 +301,7 @@ def main_text(html: str | None, wrapper: dict | None = None) -> str:
             line.append(one)
         elif one.tag == "br":
             line.append(" ")
-        elif one is main or not dropped(one) and not (template and is_block_of_text(one) and ("/".join(one.path()), one.text()) in template):
+        elif one is main or not dropped(one) and not (template and (inline or one.tag in BLOCK) and is_block_of_text(one) and ("/".join(one.path()), one.text()) in template):
             if one.tag in BLOCK:
                 flush()
                 stack.append(None)
