@@ -1,15 +1,21 @@
-"""Near-dedup by the Jaccard similarity of word shingles.
+"""SimHash near-dedup at a similarity of word shingles, for texts that differ in more than a few bits.
 
 Two texts link if the sets of their SHINGLE-word shingles, after lower-casing A-Z,
 have a Jaccard similarity of at least SIMILARITY. One document of each connected
 component stays, that with the largest id.
 
-Candidates are texts that agree in all ROWS minima of one of BANDS bands of
-MinHash; a pair at similarity s is missed with probability (1 - s^ROWS)^BANDS,
-5e-8 at 0.8. (SimHash doesn't fit: at 0.8 pairs differ in about 10 of 64 bits and up to
-16 or more, where blocks no longer tell near from far.) Each candidate pair is
-compared by its whole sets. In a bucket, all are first compared with its smallest
-node; what isn't in one component then is compared pair by pair.
+* Groups: texts that agree in all ROWS minima of one of BANDS bands of MinHash,
+  and all that are connected so. A pair at similarity s is missed with probability
+  (1 - s^ROWS)^BANDS, 5e-8 at 0.8. Blocks of SimHash can't find candidates here:
+  at 0.8 pairs differ in about 10 of 64 bits and up to 16 or more.
+* Comparison: a group's texts, each sent once, meet in a task, which compares
+  SimHash fingerprints of BITS bits by bit planes, as ``simhash`` does, and leaves
+  blocks beyond RADIUS; a pair at similarity 0.8 differs in 19 bits on the average,
+  with a deviation of 4, so RADIUS is 5 deviations away. Texts with a fingerprint
+  within the radius are compared by their whole sets, over an index of the shingles.
+  Only a spanning forest of the links leaves the task.
+* A group beyond SPLIT texts or SPLIT_CHARS characters is taken apart into its
+  buckets, and buckets that are still too large into pairs of parts.
 
 Defined cases: texts with equal sets are one node, so are all null and wordless
 texts; fewer words than a shingle give one shingle; null and repeated ids as in
@@ -26,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import binary_values, map_arrow, materialise
+from quaestor.llm.common import binary_values, map_arrow, materialise, sized
 from quaestor.llm.components import components
-from quaestor.llm.simhash import keep_one
+from quaestor.llm.simhash import dealt_parts, forest, hits, keep_one
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +43,9 @@ SEED = 42
 _draw = np.random.default_rng(SEED)
 FLIPS = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 ODD = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+BITS, RADIUS = 128, 40
+#: Texts, and characters of them, that one task compares with each other.
+SPLIT, SPLIT_CHARS = 4096, 1 << 24
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,55 +76,129 @@ def buckets(found: np.ndarray) -> np.ndarray:
     return np.array(made, np.uint64).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, BITS bits in words of 64."""
+    out = []
+    for word in range(BITS // 64):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(found), 8192):
+            h = (found[at : at + 8192] ^ FLIPS[word]) * ODD[word]
+            h = (h ^ h >> np.uint64(32)) * ODD[-1 - word]
+            h ^= h >> np.uint64(29)
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * total > len(found), bitorder="little").view(np.uint64)[0])
+    return np.array(out, np.uint64)
+
+
 def signed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, hashes, buckets) of every row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    """(id, hash, chars, fp, buckets) of every row; hash and chars tell its text."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("chars"), text.alias("text"))
 
-    def lists(arrays):
-        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t, shingle) for t in binary_values(batch.column(3))]
+            near = [buckets(x) for x in found]
+            ends = np.cumsum([0, *map(len, near)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(near) if near else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([node(x) for x in found], pa.int64()), lists], ["id", "hash", "chars", "fp", "buckets"])
+
+    return map_arrow(rows, run, "id long, hash long, chars int, fp long, buckets array<long>")
+
+
+def compare(fps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> dict[int, int]:
+    """Forest of the links between sets of which fps are the names; sides: 0 all with all, else 1 with 2 alone."""
+    share, n = Fraction(str(similarity)), len(sets)
+    sizes = np.array([len(x) for x in sets])
+    prints = np.array([fingerprint(x) for x in sets]).reshape(n, -1)
+    same = not sides.any()
+    one = np.arange(n) if same else np.flatnonzero(sides == 1)
+    two = np.arange(n) if same else np.flatnonzero(sides == 2)
+    wanted = np.zeros(len(one), bool)
+    for at, _, bits in hits(prints[one], prints[two], RADIUS, upper=same):
+        wanted[at : at + len(bits)] = bits.any(axis=1)
+    if not wanted.any():
+        return {}
+    # An index of the sets: for each shingle, those that have it.
+    owner = np.repeat(np.arange(n), sizes)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    ends = np.cumsum(np.bincount(column))
+    starts, listed, rows = np.r_[0, ends[:-1]], owner[order], np.r_[0, np.cumsum(sizes)]
+    shared = ends - starts > 1
+    a, b = [], []
+    for i in one[wanted].tolist():
+        own = column[rows[i] : rows[i + 1]]
+        own = own[shared[own]]
+        if not len(own):
+            continue
+        common = np.bincount(np.concatenate([listed[x:y] for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]), minlength=n)
+        others = two[two > i] if same else two
+        near = others[common[others] * share.denominator >= (sizes[i] + sizes[others] - common[others]) * share.numerator]
+        a.append(np.full(len(near), fps[i]))
+        b.append(fps[near])
+        if sum(map(len, a)) > 1_000_000:
+            tree = forest(np.concatenate(a).tolist(), np.concatenate(b).tolist())
+            a, b = [np.array(list(tree.keys()), np.int64)], [np.array(list(tree.values()), np.int64)]
+    return forest(np.concatenate(a).tolist(), np.concatenate(b).tolist()) if a else {}
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """(bucket, hub, fp) of the buckets that hold several nodes; hub is the smallest of them."""
+    each = rows.select("fp", F.explode("buckets").alias("bucket"))
+    shared = materialise(each.groupBy("bucket").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub < last").select(F.col("bucket").alias("of"), "hub"))
+    return materialise(each.join(sized(shared), F.col("bucket") == F.col("of")).select("bucket", "hub", "fp").distinct())
+
+
+def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect all nodes of similar sets; rows: what ``signed_texts`` gives of ``docs``."""
+    members = places(rows)
+    # Nodes that share buckets, directly or over others, make a group.
+    grouped = components(members.select(F.col("hub").alias("a"), F.col("fp").alias("b"))).withColumnRenamed("node", "fp")
+    one = rows.groupBy("fp").agg(F.min(F.struct("hash", "chars")).alias("text"))
+    nodes = materialise(one.join(sized(materialise(grouped)), "fp").select("fp", F.col("root").alias("group"), "text.hash", "text.chars"))
+    n_parts = F.ceil(F.greatest(F.col("n") / SPLIT, F.col("size") / SPLIT_CHARS)).cast("int").alias("parts")
+    size = [F.count(F.lit(1)).alias("n"), F.sum("chars").alias("size")]
+    large = materialise(nodes.groupBy("group").agg(*size).filter((F.col("n") > SPLIT) | (F.col("size") > SPLIT_CHARS)).select("group"))
+    dealt = dealt_parts(nodes.join(sized(large), "group", "left_anti").select(F.col("group").alias("bucket"), "fp"), large.select(F.col("group").alias("bucket"), F.lit(1).alias("parts")).limit(0))
+    if not large.isEmpty():
+        inner = materialise(members.select("bucket", "fp").join(sized(materialise(nodes.join(sized(large), "group", "left_semi").select("fp", "chars"))), "fp"))
+        hot = materialise(inner.groupBy("bucket").agg(*size).select("bucket", n_parts).filter("parts > 1"))
+        dealt = dealt.unionByName(dealt_parts(inner.select("bucket", "fp"), hot))
+    # The text of each node comes once to its node, and from there to where it is compared.
+    text = F.col(f"`{text_col}`")
+    wanted = nodes.select("fp", F.col("hash").alias("h"), F.col("chars").alias("c"))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("hash"), F.length(text).alias("chars"))
+    texts = texts.join(sized(wanted), (F.col("hash") == F.col("h")) & (F.col("chars") == F.col("c"))).groupBy("fp").agg(F.min("text").alias("text"))
+    met = dealt.join(texts, "fp").select("key", "p", "q", "side", "fp", "text")
+    met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def run(batches):
+        at, held = None, []
+
+        def told():
+            tree = compare(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held]), [x[2] for x in held], similarity) if len(held) > 1 else {}
+            return pa.RecordBatch.from_pydict({"a": pa.array(list(tree.keys()), pa.int64()), "b": pa.array(list(tree.values()), pa.int64())})
+
         for batch in batches:
-            found = [shingles(t, shingle) for t in binary_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node(x) for x in found], pa.int64()), lists(found), lists([buckets(x) for x in found])], ["id", "fp", "hashes", "buckets"])
-
-    return map_arrow(rows, run, "id long, fp long, hashes array<long>, buckets array<long>")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) whose sets (fp, hashes) are similar enough."""
-    share = Fraction(str(similarity))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("of_b")), "b")
-    small, large = F.least(F.size("of_a"), F.size("of_b")), F.greatest(F.size("of_a"), F.size("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    near = F.when(small * share.denominator < large * share.numerator, False).otherwise(common * share.denominator >= (small + large - common) * share.numerator)
-    return both.filter(near).select("a", "b")
-
-
-def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect all nodes of similar sets; rows: (fp, hashes, buckets)."""
-    places = materialise(rows.select("fp", F.explode("buckets").alias("bucket")).distinct())
-    shared = places.groupBy("bucket").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub < last").select("bucket", "hub")
-    members = materialise(places.join(shared, "bucket"))
-    sets = materialise(rows.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "hashes").dropDuplicates(["fp"]))
-    first = materialise(similar(members.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity))
-    roots = materialise(components(first).withColumnRenamed("node", "fp"))
-    labelled = members.join(roots, "fp", "left").select("bucket", "hub", "fp", F.coalesce("root", "fp").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-    # Pairs with the hub have been compared.
-    rest = materialise(labelled.join(mixed, "bucket", "left_semi").filter("fp <> hub").select("bucket", "fp", "label"))
-    one, two = rest.select("bucket", F.col("fp").alias("a"), F.col("label").alias("x")), rest.select("bucket", F.col("fp").alias("b"), F.col("label").alias("y"))
-    pairs = one.join(two, "bucket").filter("a < b AND x <> y").select("a", "b").distinct()
-    return first.unionByName(materialise(similar(pairs, sets, similarity)))
+            for key, p, q, side, fp, t in zip(*(c.to_pylist() for c in batch.columns[:5]), binary_values(batch.column(5)), strict=True):
+                if (key, p, q) != at:
+                    if held:
+                        yield told()
+                    at, held = (key, p, q), []
+                held.append((fp, side, shingles(t, shingle)))
+        if held:
+            yield told()
+
+    return map_arrow(met, run, "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component, that with the largest id. Rows that share an id are told apart by their texts."""
     rows = materialise(signed_texts(docs, id_col, text_col, shingle))
-    roots = components(links(rows, similarity)).withColumnRenamed("node", "fp")
+    roots = components(links(docs, rows, text_col, shingle, similarity)).withColumnRenamed("node", "fp")
     ids = rows.groupBy("fp").agg(F.max("id").alias("high"))
-    rooted = ids.join(roots, "fp", "left").select("fp", "high", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted)
-    found = materialise(rooted.join(rooted.groupBy("root").agg(F.max("high").alias("keep_id")), "root").select("fp", "root", "keep_id"))
+    rooted = materialise(ids.join(roots, "fp", "left").select("fp", "high", F.coalesce("root", "fp").alias("root")))
+    keep = rooted.groupBy("root").agg(F.max("high").alias("keep_id"), F.count(F.lit(1)).alias("nodes"))
+    found = materialise(rooted.join(keep, "root").select("fp", "root", "keep_id"))
     return keep_one(docs, rows.select("id", "fp"), found, lambda t: node(shingles(t, shingle)), id_col, text_col)

@@ -71,53 +71,90 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows, one per bit; 64 fingerprints in each word."""
+    """A row for each bit; 64 fingerprints in each word. Fingerprints of several words: one in each row of ``fps``."""
+    words = fps.reshape(len(fps), -1)
     wide = -(-len(fps) // 64) * 64
-    padded = np.zeros(wide, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    padded = np.zeros((wide, words.shape[1]), np.uint64)
+    padded[: len(fps)] = words
+    bits = np.unpackbits(padded.view(np.uint8).reshape(wide, -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
+def counters(radius: int, shape) -> list[np.ndarray]:
+    """Counter bits that hold ``radius``, and one that stays set once they run over."""
+    return [np.zeros(shape, np.uint64) for _ in range(radius.bit_length() + 1)]
+
+
 def _add(state: list[np.ndarray], plane: np.ndarray) -> None:
-    """Carry-save: three counter bits per pair; a fourth, once set, stays set."""
-    for k in range(3):
+    """Carry-save: adds one differing bit of many pairs."""
+    for k in range(len(state) - 1):
         carry = state[k] & plane
         state[k] ^= plane
         plane = carry
-    state[3] |= plane
+    state[-1] |= plane
 
 
 def _beyond(state: list[np.ndarray], radius: int) -> np.ndarray:
-    """Pairs with a count over ``radius`` (below 8)."""
+    """Pairs with a count over ``radius``."""
     over, same = np.zeros_like(state[0]), np.full_like(state[0], ALL)
-    for k in (2, 1, 0):
+    for k in range(len(state) - 2, -1, -1):
         if radius >> k & 1:
             same &= state[k]
         else:
             over |= same & state[k]
             same &= ~state[k]
-    return over | state[3]
-
-
-def within(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i in queries, j in block) of all pairs that differ in at most ``radius`` bits."""
-    vertical, found = planes(block), []
-    left = np.zeros(vertical.shape[1] * 64, bool)
-    left[: len(block)] = True
-    inside = np.packbits(left, bitorder="little").view(np.uint64)
-    for at in range(0, len(queries), 128):
-        part = queries[at : at + 128]
-        state = [np.zeros((len(part), vertical.shape[1]), np.uint64) for _ in range(4)]
-        for bit in range(64):
-            flip = np.where(part >> np.uint64(bit) & np.uint64(1), ALL, np.uint64(0))
-            _add(state, vertical[bit] ^ flip[:, None])
-            if bit >= 15 and bit % 8 == 7 and (_beyond(state, radius) | ~inside == ALL).all():
-                break
+    return over | state[-1]
+
+
+#: Planes between two looks at what is still within the radius, and fingerprints that are compared with a block at once.
+LOOK, TILE = 8, 32
+#: Words of counters that were updated, and those that all planes would take.
+work = {"done": 0, "whole": 0}
+
+
+def hits(queries: np.ndarray, block: np.ndarray, radius: int, upper: bool = False):
+    """(at, columns, bits): for TILE queries from ``at`` on, the words of the block, 64 fingerprints each, that have pairs within the radius, and those pairs.
+
+    Words are abandoned as soon as all their pairs are beyond the radius. upper:
+    the block is the queries, and only pairs (i, j) with i < j count.
+    """
+    if not len(queries) or not len(block):
+        return
+    vertical, own = planes(block), planes(queries)
+    n_bits, n_words = vertical.shape
+    inside = np.packbits(np.arange(n_words * 64) < len(block), bitorder="little").view(np.uint64)
+    for at in range(0, len(queries), TILE):
+        n = min(TILE, len(queries) - at)
+        allowed = np.broadcast_to(inside, (n, n_words))
+        columns = np.arange(at // 64 if upper else 0, n_words)
+        if upper:
+            later = np.arange(n_words * 64) > np.arange(at, at + n)[:, None]
+            allowed = allowed & np.packbits(later, axis=1, bitorder="little").view(np.uint64)
+        allowed = allowed[:, columns]
+        flips = (own[:, at // 64] >> np.uint64(at % 64))[:, None] >> np.arange(n, dtype=np.uint64) & np.uint64(1)
+        flips = np.where(flips, ALL, np.uint64(0))[:, :, None]
+        state = counters(radius, allowed.shape)
+        work["whole"] += n * n_words * n_bits
+        for bit in range(n_bits):
+            _add(state, vertical[bit, columns] ^ flips[bit])
+            work["done"] += state[0].size
+            if bit % LOOK == LOOK - 1 or bit == n_bits - 1:
+                alive = ~_beyond(state, radius) & allowed
+                on = alive.any(axis=0)
+                if not on.all():
+                    columns, allowed, state = columns[on], allowed[:, on], [x[:, on] for x in state]
+                if not len(columns):
+                    break
         else:
-            hit = np.unpackbits(np.ascontiguousarray(~_beyond(state, radius) & inside).view(np.uint8), axis=1, bitorder="little")
-            i, j = np.nonzero(hit)
-            found.append((i + at, j))
+            yield at, columns, ~_beyond(state, radius) & allowed
+
+
+def within(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS, upper: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i in queries, j in block) of all pairs that differ in at most ``radius`` bits; upper: as in ``hits``."""
+    found = []
+    for at, columns, bits in hits(queries, block, radius, upper):
+        i, j = np.nonzero(np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little"))
+        found.append((i + at, columns[j // 64] * 64 + j % 64))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -128,11 +165,22 @@ def pairs_within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarr
     good = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 16):
         vertical = planes(a[at : at + (1 << 16)] ^ b[at : at + (1 << 16)])
-        state = [np.zeros(vertical.shape[1], np.uint64) for _ in range(4)]
-        for bit in range(64):
-            _add(state, vertical[bit])
+        n_bits, n_words = vertical.shape
+        columns, state = np.arange(n_words), counters(radius, n_words)
+        out = np.zeros(n_words, np.uint64)
+        for bit in range(n_bits):
+            _add(state, vertical[bit, columns])
+            work["done"] += len(columns)
+            if bit % LOOK == LOOK - 1:
+                on = _beyond(state, radius) != ALL
+                if not on.all():
+                    columns, state = columns[on], [x[on] for x in state]
+                if not len(columns):
+                    break
+        work["whole"] += n_words * n_bits
+        out[columns] = ~_beyond(state, radius)
         n = min(1 << 16, len(a) - at)
-        good[at : at + n] = np.unpackbits((~_beyond(state, radius)).view(np.uint8), bitorder="little")[:n]
+        good[at : at + n] = np.unpackbits(out.view(np.uint8), bitorder="little")[:n]
     return good
 
 
@@ -175,11 +223,14 @@ def _bucket_links(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: i
     for s, n in zip(starts, sizes, strict=True):
         if n > _SHIFTS:
             own, kind = fps[s : s + n], side[s : s + n]
-            one, two = (own, own) if not kind.any() else (own[kind == 1], own[kind == 2])
+            same = not kind.any()
+            one, two = (own, own) if same else (own[kind == 1], own[kind == 2])
             for at in range(0, len(one), 4096):
-                i, j = within(one[at : at + 4096], two, radius)
-                a.append(one[at : at + 4096][i])
-                b.append(two[j])
+                part, rest = one[at : at + 4096], two[at:] if same else two
+                for x, y, upper in [(part, part, True), (part, rest[len(part) :], False)] if same else [(part, rest, False)]:
+                    i, j = within(x, y, radius, upper)
+                    a.append(x[i])
+                    b.append(y[j])
                 if sum(map(len, a)) > 1_000_000:
                     tree = forest(np.concatenate(a).view(np.int64).tolist(), np.concatenate(b).view(np.int64).tolist())
                     a = [np.array(list(tree.keys()), np.int64).view(np.uint64)]
@@ -189,6 +240,25 @@ def _bucket_links(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: i
     return forest(np.concatenate(a).view(np.int64).tolist(), np.concatenate(b).view(np.int64).tolist())
 
 
+def dealt_parts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, p, q, side, fp) from rows (bucket, fp); buckets of the written table ``hot`` (bucket, parts) are dealt out as pairs of parts.
+
+    Each row of a large bucket goes to the pairs of parts that its own part is in. side: 0 all with all; 1 and 2: 1 with 2 alone.
+    """
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.select(F.col("bucket").alias("key"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "fp")
+    marked = rows.join(sized(hot.withColumnRenamed("bucket", "hot"), n_hot), F.col("bucket") == F.col("hot"), "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    plain = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side")))
+    shared = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda k: F.struct(F.least(k, own).alias("p"), F.greatest(k, own).alias("q"), F.when(k == own, 0).when(own < k, 1).otherwise(2).alias("side")),
+    )
+    each = marked.select("bucket", "fp", F.explode(F.when(F.col("parts").isNull(), plain).otherwise(shared)).alias("to"))
+    return each.select(F.col("bucket").alias("key"), "to.p", "to.q", "to.side", "fp")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that connect all that differ in at most ``radius`` bits."""
     edges, at = [], 0
@@ -201,18 +271,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         y = F.shiftrightunsigned("fp", s2).bitwiseAND(F.lit((1 << w2) - 1)).cast("long")
         tables.append(F.lit(number << 32).cast("long") + x * F.lit(1 << w2) + y)
     rows = distinct.select("fp", F.explode(F.array(*tables)).alias("bucket"))
-    hot = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select(F.col("bucket").alias("hot"), F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))
-    n_hot = hot.count()
-    dealt = rows.select(F.col("bucket").alias("key"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "fp")
-    if n_hot:  # each row of a large bucket goes to the pairs of parts that its own part is in
-        marked = rows.join(sized(hot, n_hot), F.col("bucket") == F.col("hot"), "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        plain = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side")))
-        shared = F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda k: F.struct(F.least(k, own).alias("p"), F.greatest(k, own).alias("q"), F.when(k == own, 0).when(own < k, 1).otherwise(2).alias("side")),
-        )
-        dealt = marked.select("bucket", "fp", F.explode(F.when(F.col("parts").isNull(), plain).otherwise(shared)).alias("to")).select(F.col("bucket").alias("key"), "to.p", "to.q", "to.side", "fp")
+    hot = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select("bucket", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))
+    dealt = dealt_parts(rows, hot)
     dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def run(batches):

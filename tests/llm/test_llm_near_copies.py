@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from quaestor.llm import near_copies
 
@@ -48,9 +50,11 @@ def test_stage_keeps_one_of_each_component(spark):
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(docs)
 
 
-def test_hub_does_not_hide_other_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("split", (4096, 40))
+def test_hub_does_not_hide_other_pairs(spark, monkeypatch, split):
     """All nodes meet in one bucket, but only some pairs link, and not with its smallest node."""
     monkeypatch.setattr(near_copies, "buckets", lambda found: near_copies.np.zeros(min(1, len(found)), near_copies.np.int64))
+    monkeypatch.setattr(near_copies, "SPLIT", split)
     docs = documents()
     df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in docs], SCHEMA)
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == plain_kept(docs)

@@ -58,6 +58,26 @@ def test_kernels():
         assert len(simhash.within(a, b)[0]) == (bits <= 4)
 
 
+def test_upper_triangle_and_wide_fingerprints():
+    rng = np.random.default_rng(4)
+    for n, words, radius in ((0, 1, 4), (1, 1, 4), (70, 1, 4), (200, 1, 9), (200, 2, 40)):
+        fps = rng.integers(0, 2**64, (n, words), dtype=np.uint64)
+        for k in range(0, n, 3):
+            fps[k] = fps[n // 2] ^ rng.integers(0, 256, words, dtype=np.uint64)
+        far = np.array([[sum(bin(int(x)).count("1") for x in a ^ b) for b in fps] for a in fps]).reshape(n, n)
+        want = set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(far <= radius, 1))), strict=True))
+        got = simhash.within(fps[:, 0] if words == 1 else fps, fps[:, 0] if words == 1 else fps, radius, upper=True)
+        assert set(zip(*map(np.ndarray.tolist, got), strict=True)) == want
+
+
+def test_an_ordinary_bucket_abandons_blocks():
+    """A bucket compared with itself: fingerprints agree in the bucket's 22 bits, and most planes of the others are never looked at."""
+    fps = np.random.default_rng(5).integers(0, 2**64, 4000, dtype=np.uint64) >> np.uint64(22)
+    simhash.work.update(done=0, whole=0)
+    simhash._bucket_links(np.zeros(4000, np.int64), np.zeros(4000, np.int64), fps, 4)
+    assert simhash.work["done"] < 0.4 * simhash.work["whole"]
+
+
 @pytest.mark.parametrize("split", [16384, 40])
 def test_links_find_every_component(spark, monkeypatch, split):
     monkeypatch.setattr(simhash, "SPLIT", split)
