@@ -53,7 +53,11 @@ def per_group(df: DataFrame, by: list[str], id_col: str, n: int, seed: str | int
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
 
 
-def stratified(df: DataFrame, source: str, file: str, id_col: str, n: int, seed: str | int) -> DataFrame:
-    """One row per file, then n files per source (-1: all)."""
+def stratified(df: DataFrame, source: str, file: str, id_col: str, n: int, seed: str | int, strict: bool = False) -> DataFrame:
+    """One row per file, then n files per source (-1: all); strict: raises if a source has fewer."""
+    if strict and n > 0:
+        few = df.select(source, file).distinct().groupBy(source).count().filter(F.col("count") < n).first()
+        if few:
+            raise ValueError(f"{few[0]}: fewer than {n} files")
     one = per_group(df, [source, file], id_col, 1, seed)
     return one if n == -1 else per_group(one, [source], id_col, n, f"{seed}|files")

@@ -39,6 +39,7 @@ def keep_right(c: Column, separator: str) -> Column:
 
 def clean_report(c: Column) -> Column:
     """Drops the notice at the start, what follows the last underscore, and underscores; lower case, white space folded."""
+    # Fixed value.
     c = F.regexp_replace(c, r"(?s)^\[\s*Report de-identified .+?\]\s*\n", "")
     c = F.regexp_replace(c, r"(?s)^(.*)_.*$", "$1")
     return strip(F.regexp_replace(F.lower(F.replace(c, F.lit("_"), F.lit(""))), r"(?U)\s+", " "))
@@ -111,11 +112,12 @@ def binarise(score: Column, threshold: float) -> Column:
 
 
 def run_label(file: Column) -> Column:
-    """Method and role by file name; the order of the tests matters."""
-    name = F.lower(keep_right(file, "/"))
+    """METHOD (Role) by the name of a file without its suffix, with regard to case; the order of the tests matters."""
+    # Fixed values.
+    name = keep_left(keep_right(file, "/"), ".")
     method = F.when(name.contains("nocot"), "BCV").when(name.contains("cot"), "BCV-CoT").when(name.contains("sca"), "SCA").otherwise("BCV")
     role = F.when(name.contains("medical"), "Medical").when(name.contains("agnostic"), "Agnostic").otherwise("Unknown")
-    return F.concat_ws(" ", method, role)
+    return F.concat(method, F.lit(" ("), role, F.lit(")"))
 
 
 def model_name(file: Column) -> Column:
@@ -124,10 +126,36 @@ def model_name(file: Column) -> Column:
 
 def report_block(complaint: Column, admit: Column, discharge: Column, text: Column) -> Column:
     """A report as one text."""
+    # Fixed values.
     listed = F.array_join(F.transform(discharge, lambda d: F.concat(F.lit(" - "), d, F.lit("\n"))), "")
     return F.concat(F.lit("Chief Complaint: "), complaint, F.lit("\nAdmit Diagnosis: "), admit, F.lit("\nDischarge Diagnosis:\n"), listed, F.lit("Report Text: "), text, F.lit("\n\n"))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many digits after the point; ties of its shortest decimal form go to the even digit. Null, NaN and infinity give null."""
+    return F.bround(c.try_cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
+def chosen(names: Column, suffix: str, *parts: str) -> Column:
+    """Whether a file's name has the suffix and all the parts."""
+    return reduce(lambda a, b: a & b, [names.endswith(suffix), *(names.contains(p) for p in parts)])
+
+
+def first_present(*values: Column) -> Column:
+    """The first value that isn't missing: of several names that an element may have, say."""
+    return F.coalesce(*values)
+
+
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Authority and path; null where the text isn't a URL."""
+    return F.try_parse_url(url, F.lit("AUTHORITY")), F.try_parse_url(url, F.lit("PATH"))
+
+
+def mentions(c: Column, phrase: str) -> Column:
+    """Whether the text has a phrase, whatever the case."""
+    return F.contains(F.lower(c), F.lit(phrase.lower()))
+
+
 def duration(seconds: Column) -> Column:
     """Hours and minutes, both cut."""
     hours, minutes = F.floor(seconds / 3600), F.floor(seconds / 60) % 60

@@ -33,21 +33,34 @@ def with_samples(rows: DataFrame, answer: str, correct: Column) -> DataFrame:
 
 
 def good_pairs(rows: DataFrame, question: str, answer: str) -> DataFrame:
-    """Drops pairs without a question or an answer worth keeping; `` (are)`` goes from questions before the prefix is tested."""
+    """Drops pairs without a question or an answer worth keeping; `` (are)`` goes from questions before the prefix is tested.
+
+    Null stands for a missing element; an answer that is there but empty stays.
+    """
     cleaned = rows.withColumn(question, F.replace(F.col(question), F.lit(" (are)"), F.lit("")))
     q, a = F.col(question), F.col(answer)
-    return cleaned.filter(q.isNotNull() & ~q.endswith(QUESTION_SUFFIX) & ~q.startswith(QUESTION_PREFIX) & ~a.eqNullSafe(F.lit(NO_ANSWER)))
+    return cleaned.filter(q.isNotNull() & ~q.endswith(QUESTION_SUFFIX) & ~q.startswith(QUESTION_PREFIX) & a.isNotNull() & (a != NO_ANSWER))
 
 
 def usable_sources(rows: DataFrame, source: str, excluded=EXCLUDED_SOURCES) -> DataFrame:
     return rows.filter(F.col(source).rlike("^[0-9]") & ~F.col(source).isin(*excluded))
 
 
-def join_reports(reports: DataFrame, qa: DataFrame, on: str, filled: str, strict: bool = False) -> DataFrame:
+def known(rows: DataFrame, ids: DataFrame, on: str, wanted: bool = True) -> DataFrame:
+    """Rows whose key is in ``ids``, or those whose isn't."""
+    return rows.join(ids.select(on).distinct(), on, "left_semi" if wanted else "left_anti")
+
+
+def filled(rows: DataFrame, column: str, empty: bool = False) -> DataFrame:
+    """Rows with a value; an empty text counts as none unless told otherwise."""
+    return rows.filter(F.col(column).isNotNull() & (F.lit(empty) | (F.col(column) != "")))
+
+
+def join_reports(reports: DataFrame, qa: DataFrame, on: str, given: str, strict: bool = False) -> DataFrame:
     """Each report with each of its pairs. Null documents have no pairs; strict: fails if a report has no document."""
     if strict and not reports.join(qa, on, "left_anti").isEmpty():
         raise ValueError("reports without a document of pairs")
-    return reports.join(qa.filter(F.col(filled).isNotNull()), on)
+    return reports.join(qa.filter(F.col(given).isNotNull()), on)
 
 
 def last_of_each(dimension: DataFrame, code: str, value: str, order: str) -> DataFrame:

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 BINS = 1024
 
 
+def counted(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Rows that have a score and a label."""
+    return df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isin(0, 1))
+
+
 def roc_curve(df: DataFrame, run: str, score: str, label: str) -> DataFrame:
     """(run, threshold, fpr, tpr) for each distinct score, and the point (0, 0) at infinity; also the counts behind them.
 
-    A rate without rows of its class is null.
+    A rate without rows of its class is null. Rows without a score (null or NaN) or
+    without a label of 0 or 1 don't count, here and in ``confusion``.
     """
-    points = df.groupBy(F.col(run).alias("run"), F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
+    points = counted(df, score, label).groupBy(F.col(run).alias("run"), F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
     points = points.withColumn("bin", F.floor(F.greatest(F.least("threshold", F.lit(1.0)), F.lit(0.0)) * BINS))
     inside = Window.partitionBy("run", "bin").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.partitionBy("run").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +55,7 @@ def optimal_threshold(curve: DataFrame) -> DataFrame:
 
 def confusion(df: DataFrame, run: str, score: str, label: str, thresholds: DataFrame) -> DataFrame:
     """tp, tn, fp, fn of each run at its threshold."""
-    rows = df.groupBy(F.col(run).alias("run"), F.col(score).alias("s"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted(df, score, label).groupBy(F.col(run).alias("run"), F.col(score).alias("s"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(thresholds.select("run", "threshold"), "run")
     hit, n = F.col("s") >= F.col("threshold"), F.col("n")
     part = lambda c: F.sum(F.when(c, n).otherwise(0))

@@ -7,9 +7,11 @@ its result is used twice, and a later run asks only for what is missing.
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,10 @@ SCHEMA = "qa_id long, trial int, turn int, response string, error string"
 
 
 def ask_all(prompts: DataFrame, judge: Judge, timeout: float = 900, concurrency: int | None = None) -> DataFrame:
-    """(qa_id, trial, turn, response, error) from (qa_id, trial, turns); a failed call gives null responses and the error."""
+    """(qa_id, trial, turn, response, error) from (qa_id, trial, turns); a failed call gives null responses and the error.
+
+    A chat that takes more than ``timeout`` seconds a turn has failed; its thread is left to itself.
+    """
     rows = prompts.select(F.col("qa_id").cast("long"), F.col("trial").cast("int"), "turns")
     if concurrency:
         rows = rows.repartition(concurrency)
@@ -44,10 +49,14 @@ def ask_all(prompts: DataFrame, judge: Judge, timeout: float = 900, concurrency:
         for batch in batches:
             out = []
             for qa, trial, turns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pool = ThreadPoolExecutor(1)
                 try:
-                    out += [(qa, trial, k, r, None) for k, r in enumerate(judge.ask(turns, f"{qa}|{trial}", timeout))]
+                    told = pool.submit(judge.ask, turns, f"{qa}|{trial}", timeout).result(timeout * max(1, len(turns)))
+                    out += [(qa, trial, k, r, None) for k, r in enumerate(told)]
                 except Exception as e:  # the call is foreign code: one row's failure is data
                     out += [(qa, trial, k, None, f"{type(e).__name__}: {e}") for k in range(len(turns))]
+                finally:
+                    pool.shutdown(wait=False, cancel_futures=True)
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["qa_id", "trial", "turn", "response", "error"])
@@ -61,8 +70,8 @@ def ask_missing(prompts: DataFrame, path: str, judge: Judge, timeout: float = 90
     try:
         done = spark.read.schema(SCHEMA).parquet(path).filter("response IS NOT NULL").select("qa_id", "trial").distinct()
         prompts = prompts.join(done, ["qa_id", "trial"], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     ask_all(prompts, judge, timeout, concurrency).write.mode("append").parquet(path)
     return spark.read.schema(SCHEMA).parquet(path)
@@ -74,4 +83,5 @@ def recorded(prompts: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def last_turn(responses: DataFrame) -> DataFrame:
-    return responses.groupBy("qa_id", "trial").agg(F.max_by("response", "turn").alias("response"))
+    """The response to each trial's last turn; rows of calls that failed count only where no call succeeded, then as null."""
+    return responses.groupBy("qa_id", "trial").agg(F.max_by("response", F.struct(F.col("response").isNotNull(), "turn")).alias("response"))

@@ -152,9 +152,9 @@ def route(url: Column, rules: tuple[Rule, ...] = RULES, default: str | None = No
 
 
 def contents(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[Rule, ...] = RULES, default: Rule | None = None, scripts: bool = False) -> DataFrame:
-    """(url, content) of each distinct URL; content is null when no rule fits or the main element is missing."""
+    """(url, content) of each distinct URL (of several pages of one URL the first by their html); content is null when no rule fits or the main element is missing."""
     named = {r.name: r for r in (*rules, *([default] if default else []))}
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["url"])
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).groupBy("url").agg(F.min("html").alias("html"))
     rows = rows.select("url", "html", route(F.col("url"), rules, default.name if default else None).alias("rule"))
 
     def run(batches):

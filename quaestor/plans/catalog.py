@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import sampling, text
-from quaestor.operators import datasets, evaluate, judge, pages, runs, verdicts
+from quaestor.operators import datasets, evaluate, generate, judge, pages, runs, verdicts
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -47,9 +47,9 @@ def _u(expr: str, seed: str) -> str:
 # --- evaluation -----------------------------------------------------------------
 
 _SCORE = f"floor({_u('l.doc_id', 'score')} * 11) / 10"
-_SCORED = f"s AS (SELECT d.source AS run, {_SCORE} AS score, l.quality AS y FROM labels l JOIN documents d USING (doc_id))"
+_SCORED = f"s AS (SELECT d.source AS run, CASE WHEN l.doc_id % 13 <> 0 THEN {_SCORE} END AS score, l.quality AS y FROM labels l JOIN documents d USING (doc_id))"
 _CURVE = f"""WITH {_SCORED},
-p AS (SELECT run, score AS threshold, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM s GROUP BY ALL),
+p AS (SELECT run, score AS threshold, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM s WHERE score IS NOT NULL GROUP BY ALL),
 q AS (SELECT *, sum(n_pos) OVER w AS tp, sum(n_neg) OVER w AS fp, sum(n_pos) OVER e AS positives, sum(n_neg) OVER e AS negatives FROM p
   WINDOW w AS (PARTITION BY run ORDER BY threshold DESC), e AS (PARTITION BY run)),
 r AS (SELECT * FROM q UNION ALL SELECT DISTINCT run, 'inf'::DOUBLE, 0, 0, 0, 0, positives, negatives FROM q),
@@ -60,7 +60,8 @@ o AS (SELECT run, threshold, j FROM j QUALIFY row_number() OVER (PARTITION BY ru
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    score = F.floor(sampling.uniform(F.col("doc_id"), "score") * 11) / 10
+    """Every thirteenth id has no score."""
+    score = F.when(F.col("doc_id") % 13 != 0, F.floor(sampling.uniform(F.col("doc_id"), "score") * 11) / 10)
     runs_ = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("run"))
     return _t(spark, sf_dir, "labels").join(runs_, "doc_id").select("run", score.alias("score"), F.col("quality").alias("y"))
 
@@ -234,13 +235,13 @@ def _reports(spark, sf_dir):
 @_query("f12_null_documents", "SELECT doc_id, text FROM documents WHERE CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END IS NOT NULL")
 def _null_documents(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
-    return rows.filter(F.col("text").isNotNull())
+    return datasets.filled(rows, "text", empty=True)
 
 
 _PAIRS = "q AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'What are (are) ' || p_name WHEN 1 THEN p_name || ' - resources ?' WHEN 2 THEN 'Do you have information (are) about ' || p_name WHEN 3 THEN NULL ELSE p_name END AS question, CASE WHEN p_size % 7 = 0 THEN 'No information found.' WHEN p_size % 7 = 1 THEN NULL ELSE p_brand END AS answer FROM part)"
 
 
-@_query("f4_st4_st5_good_pairs", f"WITH {_PAIRS}, c AS (SELECT id, replace(question, ' (are)', '') AS question, answer FROM q) SELECT * FROM c WHERE question IS NOT NULL AND NOT ends_with(question, ' - resources ?') AND NOT starts_with(question, 'Do you have information about ') AND answer IS DISTINCT FROM 'No information found.'")
+@_query("f4_st4_st5_good_pairs", f"WITH {_PAIRS}, c AS (SELECT id, replace(question, ' (are)', '') AS question, answer FROM q) SELECT * FROM c WHERE question IS NOT NULL AND NOT ends_with(question, ' - resources ?') AND NOT starts_with(question, 'Do you have information about ') AND answer <> 'No information found.'")
 def _good_pairs(spark, sf_dir):
     name, k = F.col("p_name"), F.col("p_size") % 5
     question = F.when(k == 0, F.concat(F.lit("What are (are) "), name)).when(k == 1, F.concat(name, F.lit(" - resources ?"))).when(k == 2, F.concat(F.lit("Do you have information (are) about "), name)).when(k == 4, name)
@@ -262,14 +263,14 @@ def _sources(spark, sf_dir):
 def _file_names(spark, sf_dir):
     k = F.col("page_id") % 3
     rows = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("report"), "page_id", F.when(k == 0, "_cot.json").when(k == 1, "_cot.log").otherwise(".json")).alias("name"))
-    return rows.filter(F.col("name").endswith(".json") & F.col("name").contains("_cot") & F.col("name").contains("report"))
+    return rows.filter(text.chosen(F.col("name"), ".json", "_cot", "report"))
 
 
 @_query("f5_empty_contexts", "WITH c AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE url END AS context FROM pages) SELECT * FROM c WHERE context IS NOT NULL AND context <> ''")
 def _contexts(spark, sf_dir):
     k = F.col("page_id") % 4
     rows = _t(spark, sf_dir, "pages").select("page_id", F.when(k == 0, "").when(k > 1, F.col("url")).alias("context"))
-    return rows.filter(F.col("context").isNotNull() & (F.col("context") != ""))
+    return datasets.filled(rows, "context")
 
 
 @_query("j2_code_lookup", "WITH c AS (SELECT c_custkey AS id, c_nationkey * 2 AS code FROM customer) SELECT id, code::INT AS code, coalesce(n_name, 'Unknown diagnosis code') AS description FROM c LEFT JOIN nation ON code = n_nationkey")
@@ -289,7 +290,7 @@ def _lookup_all(spark, sf_dir):
 
 @_query("j8_known_ids", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _unlabelled(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return datasets.known(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id", wanted=False)
 
 
 @_query("u1_append", "SELECT 'd' || doc_id AS doc_id, lang, NULL::VARCHAR AS item_id FROM documents UNION ALL SELECT NULL, NULL, 'i' || item_id FROM benchmark")
@@ -360,7 +361,7 @@ def _names(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("out/x_"), kind, F.lit("_llama2-"), F.col("page_id") % 3, F.lit("b.json")).alias("f"))
 
 
-@_query("p12_run_labels", f"WITH {_NAMES}, l AS (SELECT page_id, lower(string_split(f, '/')[-1]) AS b FROM n) SELECT page_id, CASE WHEN contains(b, 'nocot') THEN 'BCV' WHEN contains(b, 'cot') THEN 'BCV-CoT' WHEN contains(b, 'sca') THEN 'SCA' ELSE 'BCV' END || ' ' || CASE WHEN contains(b, 'medical') THEN 'Medical' WHEN contains(b, 'agnostic') THEN 'Agnostic' ELSE 'Unknown' END AS label FROM l")
+@_query("p12_run_labels", f"WITH {_NAMES}, l AS (SELECT page_id, regexp_replace(string_split(f, '/')[-1], '\\.[^.]*$', '') AS b FROM n) SELECT page_id, CASE WHEN contains(b, 'nocot') THEN 'BCV' WHEN contains(b, 'cot') THEN 'BCV-CoT' WHEN contains(b, 'sca') THEN 'SCA' ELSE 'BCV' END || ' (' || CASE WHEN contains(b, 'medical') THEN 'Medical' WHEN contains(b, 'agnostic') THEN 'Agnostic' ELSE 'Unknown' END || ')' AS label FROM l")
 def _labels(spark, sf_dir):
     return _names(spark, sf_dir).select("page_id", text.run_label(F.col("f")).alias("label"))
 
@@ -392,8 +393,10 @@ _documents("f13_d3_sentence_filter", f"array_to_string([s FOR s IN string_split(
 _documents("st6_clean_text", r"trim(regexp_replace(lower(replace(regexp_replace(regexp_replace('[ Report de-identified x' || chr(10) || ' y]  ' || chr(10) || replace(text, '. ', '_ '), '(?s)^\[\s*Report de-identified .+?\]\s*\n', ''), '(?s)^(.*)_.*$', '\1'), '_', '')), '\s+', ' ', 'g'))")(
     lambda c: text.clean_report(F.concat(F.lit("[ Report de-identified x\n y]  \n"), F.replace(c, F.lit(". "), F.lit("_ "))))
 )
-_documents("st17_st18_lower_contains", "contains(lower(text), 'the and')")(lambda c: F.lower(c).contains("the and"))
-_documents("st13_bracketed", "CASE WHEN contains('[' || text || ']]', '[') THEN regexp_extract('x[' || left(text, 50) || ']y', '(?s)(\\[.*\\])', 1) END")(lambda c: text.bracketed(F.concat(F.lit("x["), F.substring(c, 1, 50), F.lit("]y"))))
+_documents("st17_st18_lower_contains", "contains(lower(text), 'the and')")(lambda c: text.mentions(c, "The and"))
+_documents("st13_bracketed", r"nullif(regexp_extract(replace(text, 'e', '[') || ' ' || replace(text, 'o', ']'), '(?s)(\[.*\])', 1), '')")(
+    lambda c: text.bracketed(F.concat(F.replace(c, F.lit("e"), F.lit("[")), F.lit(" "), F.replace(c, F.lit("o"), F.lit("]"))))
+)
 
 
 @_query("st8_code_lists", r"WITH p AS (SELECT p_partkey AS id, ' ' || p_size || '.1 , ,' || p_brand || '.x,,' || p_size || ' ' AS c FROM part) SELECT id, array_to_string([replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '.', '') FOR x IN string_split(c, ',') IF regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''], '|') AS codes FROM p")
@@ -402,20 +405,24 @@ def _codes(spark, sf_dir):
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.codes(c), "|").alias("codes"))
 
 
-@_query("st14_f10_u4_json_objects", """SELECT event_id, (props::JSON->>'k') AS k, 'a; b' AS listed, true AS exact FROM events""")
+@_query("st14_f10_u4_json_objects", """WITH e AS (SELECT event_id, event_id % 5 AS kind, props::JSON->>'k' AS k FROM events)
+SELECT event_id, kind >= 3 AS ok, CASE kind WHEN 3 THEN 0 WHEN 4 THEN 2 END::INT AS n, CASE kind WHEN 4 THEN 'q' || k END AS question, CASE kind WHEN 4 THEN 'a; b' END AS right_answer FROM e""")
 def _json(spark, sf_dir):
-    """A list of one object with a number and a list, its values as text, and whether its keys are the ones expected."""
-    made = F.concat(F.lit('[{"k":'), F.get_json_object("props", "$.k"), F.lit(',"l":["a","b"]}]'))
-    rows = _t(spark, sf_dir, "events").select("event_id", F.element_at(text.qa_objects(made), 1).alias("m"))
-    return rows.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["l"].alias("listed"), text.keys_are(F.col("m"), "k", "l").alias("exact"))
+    """Responses without a list, with other keys, with broken JSON, with an empty list, and with two good objects."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 5
+    good = F.concat(F.lit('Here [{"question":"q'), k, F.lit('","right_answer":["a","b"],"hallucinated_answer":"c"},{"hallucinated_answer":"d","question":"r","right_answer":"e"}] it is'))
+    made = F.when(kind == 0, "nothing here").when(kind == 1, '[{"question":"q","right_answer":"a"}]').when(kind == 2, '[{"question": broken]').when(kind == 3, "none: [].").otherwise(good)
+    rows = generate.documents_of_pairs(_t(spark, sf_dir, "events").select("event_id", made.alias("response")), "event_id", "response")
+    first = F.try_element_at("pairs", F.lit(1))
+    return rows.select("event_id", "ok", F.when(F.col("ok"), F.size("pairs")).alias("n"), first["question"].alias("question"), first["right_answer"].alias("right_answer"))
 
 
 @_query("st16_url_parts", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
 def _url_parts(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.try_parse_url("url", F.lit("AUTHORITY")).alias("authority"), F.try_parse_url("url", F.lit("PATH")).alias("path"))
+    return _t(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for c, n in zip(text.url_parts(F.col("url")), ("authority", "path"), strict=True)])
 
 
-@_query("a10_st19_st20_s12_run_times", """WITH l AS (SELECT event_id, floor(abs(value) * 100)::BIGINT AS s, user_id FROM events), g AS (SELECT count(*) AS runs, sum(s)::DOUBLE AS seconds FROM l WHERE user_id % 3 <> 0)
+@_query("a10_st19_s12_run_times", """WITH l AS (SELECT event_id, floor(abs(value) * 100)::BIGINT AS s, user_id FROM events), g AS (SELECT count(*) AS runs, sum(s)::DOUBLE AS seconds FROM l WHERE user_id % 3 <> 0)
 SELECT runs, seconds, floor(seconds / 3600)::BIGINT || ' hours and ' || floor(seconds / 60)::BIGINT % 60 || ' minutes' AS duration FROM g""")
 def _times(spark, sf_dir):
     """Logs of which two thirds end with the line of a run that finished."""
@@ -426,7 +433,7 @@ def _times(spark, sf_dir):
 
 @_query("s8_first_tag", "SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 3 = 0 THEN p_brand END) AS found FROM part")
 def _first_tag(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))).alias("found"))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.first_present(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))).alias("found"))
 
 
 # --- pages ----------------------------------------------------------------------
@@ -443,14 +450,96 @@ def _routes(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", pages.route(url).alias("rule"))
 
 
-@_query("h10_h13_s9_page_contents")
+@_query("h1_h8_page_contents", "WITH p AS (SELECT page_id, 'https://x/' || page_id AS u, ([" + ", ".join(f"'{r.cut}'" for r in pages.RULES) + r"])[1 + page_id % 8] AS cut, url FROM pages) SELECT page_id, 'Page ' || page_id || chr(10) || url || chr(10) || CASE WHEN cut = '' THEN 'the end' ELSE '' END AS content FROM p")
+def _by_rule(spark, sf_dir):
+    """A page for each rule, with all that the rule drops and its mark."""
+
+    def tag(what: pages.Select, inner: str = "") -> str:
+        return f"<{what.tag}{f' {what.attr}="a {what.value}"' if what.attr == 'class' else f' {what.attr}="{what.value}"' if what.attr else ''}>{what.text or inner}</{what.tag}>"
+
+    def page(rule: pages.Rule):
+        one = lambda d: f"<div>{tag(d.what, 'x')}</div>" if d.parent else tag(d.what, "x")
+        head = "".join(one(d) + (f"<{d.sibling}><i>gone</i></{d.sibling}>" if d.sibling else "") for d in rule.drops)
+        main = tag(rule.main[0], head + "\0<b>" + (rule.cut or "the end") + "</b>" + ("<p>tail</p>" if rule.cut else ""))
+        before, after = f"<body><p>menu</p>{main}<p>foot</p></body>".split("\0")
+        return F.concat(F.lit(before + "<p> Page "), F.col("page_id"), F.lit(" </p>\n<script>s()</script><p>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</p>" + after))
+
+    rules = F.array(*[F.lit(f"https://{r.host}{r.path}/") for r in pages.RULES])
+    k = F.col("page_id") % 8
+    html = F.element_at(F.array(*[page(r) for r in pages.RULES]), (1 + k).cast("int"))
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.element_at(rules, (1 + k).cast("int")), "page_id").alias("at"), html.alias("html"))
+    return pages.contents(rows, "at").join(rows.select("page_id", F.col("at").alias("url")), "url").select("page_id", "content")
+
+
+#: The pages' articles have no other references than these two, whole or cut off.
+_ARTICLES = r"""f AS (SELECT url, min(html) AS html FROM pages GROUP BY url),
+a AS (SELECT url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_html FROM f),
+b AS (SELECT url, [x FOR x IN [trim(regexp_replace(y, '^\s+|\s+$', '', 'g')) FOR y IN regexp_split_to_array(inner_html, '<[^>]*>')] IF x <> ''] AS parts FROM a),
+t AS (SELECT url, replace(replace(replace(array_to_string(parts, chr(10)), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS content FROM b)"""
+
+
+@_query("h10_h13_s9_page_contents", f"WITH {_ARTICLES} SELECT url, content FROM t")
 def _contents(spark, sf_dir):
     """Text of each distinct URL's article; the hosts here have no rule of their own."""
     return pages.contents(_t(spark, sf_dir, "pages"), default=pages.ARTICLE)
 
 
-@_query("j4_url_memo", "SELECT page_id, url, NULL::VARCHAR AS content FROM pages")
+@_query("j4_url_memo", f"WITH {_ARTICLES} SELECT page_id, url, content FROM pages JOIN t USING (url)")
 def _memo(spark, sf_dir):
-    """Rows with the content of their page; hosts without a rule have none."""
+    """Rows with the content of their page, which is parsed once for each URL."""
     rows = _t(spark, sf_dir, "pages")
-    return pages.with_contents(rows.select("page_id", "url"), rows, "url")
+    return pages.with_contents(rows.select("page_id", "url"), rows, "url", default=pages.ARTICLE)
+
+
+# --- generation and runs --------------------------------------------------------
+
+
+def _stage(spark, sf_dir, response) -> tuple[DataFrame, DataFrame]:
+    """Questions, and responses that a model gave to them in two turns; every seventh call failed at first."""
+    part = _t(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.col("p_brand").alias("right_answer"))
+    asked = part.select(F.col("p_partkey").alias("qa_id"), F.lit(0).alias("trial"), response.alias("last"))
+    turn = lambda k, r: asked.select("qa_id", "trial", F.lit(k).alias("turn"), r.alias("response"), F.lit(None).cast("string").alias("error"))
+    failed = turn(1, F.lit(None).cast("string")).filter("qa_id % 7 = 0")
+    return rows, turn(0, F.lit("thinking")).unionByName(turn(1, F.col("last"))).filter("qa_id % 11 <> 0").unionByName(failed)
+
+
+@_query("x7_d4_regenerated", "SELECT p_partkey AS id, p_name AS question, CASE WHEN p_partkey % 11 = 0 OR p_size % 3 = 0 THEN p_brand ELSE 'New ' || p_type END AS right_answer FROM part")
+def _regenerated(spark, sf_dir):
+    rows, responses = _stage(spark, sf_dir, F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Sorry: Missing information on "), "p_type")).otherwise(F.concat(F.lit("New "), "p_type")))
+    return generate.regenerated(rows, responses, "id")
+
+
+@_query("x7_d4_regenerated_dropping", "SELECT p_partkey AS id, p_name AS question, CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE 'New ' || p_type END AS right_answer FROM part WHERE p_partkey % 11 = 0 OR p_size % 3 <> 0")
+def _regenerated_dropping(spark, sf_dir):
+    rows, responses = _stage(spark, sf_dir, F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Sorry: Missing information on "), "p_type")).otherwise(F.concat(F.lit("New "), "p_type")))
+    return generate.regenerated(rows, responses, "id", drop_missing=True)
+
+
+@_query("x7_f13_hallucinated", "SELECT p_partkey AS id, p_name AS question, p_brand AS right_answer, CASE WHEN p_partkey % 11 <> 0 THEN 'It is ' || p_type || '.' || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' I hallucinate!' END END AS hallucinated_answer FROM part")
+def _hallucinated(spark, sf_dir):
+    """Sentences on the context go, those on hallucinating stay unless asked for."""
+    tail = F.when(F.col("p_size") % 2 == 0, " The Context says so.").otherwise(" I hallucinate!")
+    rows, responses = _stage(spark, sf_dir, F.concat(F.lit("It is "), "p_type", F.lit("."), tail))
+    return generate.hallucinated(rows, responses, "id")
+
+
+@_query("f9_checked_models", "SELECT page_id, 'm' || page_id % 3 AS model FROM pages")
+def _models_checked(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("m"), F.col("page_id") % 3).alias("model"))
+    return generate.checked_models(rows, "model", ["m0", "m1", "m2"])
+
+
+@_query("st20_fixed_digits", "SELECT p_partkey AS id, printf('%.3f', p_size / 7.0::DOUBLE) AS three, printf('%.2f', p_retailprice / 3) AS two FROM part")
+def _fixed(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.fixed(F.col("p_size") / F.lit(7.0), 3).alias("three"), text.fixed(F.col("p_retailprice") / 3, 2).alias("two"))
+
+
+@_query("k3_dt1_run_logs", """SELECT event_id, repeat('=', 49) || chr(10) || event_type || chr(10) || 'Current time ' || printf('%.2f', (1700000000 + event_id)::DOUBLE) || chr(10) || 'model: m' || chr(10) || 'times: ' || user_id % 5 || chr(10) || chr(10)
+ || CASE WHEN user_id % 3 <> 0 THEN 'Finished after ' || floor(abs(value) * 100)::BIGINT || '.00 seconds' || chr(10) ELSE '' END AS content FROM events""")
+def _run_logs(spark, sf_dir):
+    """Runs as the text of their logs; runs that failed have no last line."""
+    settings = F.create_map(F.lit("times"), (F.col("user_id") % 5).cast("string"), F.lit("model"), F.lit("m"))
+    seconds = F.when(F.col("user_id") % 3 != 0, F.floor(F.abs("value") * 100).cast("double"))
+    rows = _t(spark, sf_dir, "events")
+    return rows.select("event_id", runs.log_text(F.col("event_type"), settings, (F.lit(1700000000) + F.col("event_id")).cast("double"), seconds).alias("content"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +113,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """A JSON array in each file; nulls are written. Rows go out one by one, so a file is never held whole."""
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches):
+        before = None
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if not texts:
+                continue
+            texts = [before, *texts] if before is not None else ["[" + texts[0], *texts[1:]]
+            before = texts.pop()
+            yield pa.RecordBatch.from_arrays([pa.array([t + "," for t in texts], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before is None else before + "]"])], ["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def split_rejects(df: DataFrame, good) -> tuple[DataFrame, DataFrame]:
     """Rows that meet a condition, and the others."""
     return df.filter(F.coalesce(good, F.lit(False))), df.filter(~F.coalesce(good, F.lit(False)))

@@ -11,6 +11,7 @@ _METHODS = {
     "bcv-cot": "Context:\n[C]\n\nQuestion: [Q]\nAnswer: [A]\n\nGo through the answer claim by claim, then say whether any is wrong or not borne out. " + _ENDING,
     "sca": "Context:\n[C]\n\nQuestion: [Q]\n[next]\nNow compare your own answer with this one: [A]\nDo they contradict each other? " + _ENDING,
     "issc": "Text: [C]\nSentence: [S]\n\nDoes the text support the sentence? " + _ENDING,
+    "issc-cot": "Text: [C]\nSentence: [S]\n\nReason step by step on whether the text supports the sentence, then decide. Begin with a line #Reasoning#: and your reasons. " + _ENDING,
     "report-questions": "Report:\n[R]\n\nWrite ten questions on it as a JSON list of objects with question, right_answer and hallucinated_answer.",
     "hallucinate": "Context:\n[C]\n\nQuestion: [Q]\nRight answer: [A]\n\nWrite a plausible answer that is wrong.",
     "regenerate": "Context:\n[A]\n\nQuestion: [Q]\n\nAnswer from the context alone, or say: Missing information",

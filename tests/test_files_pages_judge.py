@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from quaestor.operators import judge, pages, runs
+from quaestor.functions import sampling
+from quaestor.operators import datasets, evaluate, generate, judge, pages, runs
 from quaestor.sources import files, prompts, schemas
 from quaestor.streaming import scores
 
@@ -82,9 +84,76 @@ def test_judge(spark, tmp_path):
     path = str(tmp_path / "responses")
     failed = judge.ask_missing(rows.limit(5), path, Failing())
     assert failed.filter("response IS NULL AND error LIKE 'TimeoutError%'").count() == 10
-    first = judge.last_turn(judge.ask_missing(rows, path, judge.HashJudge()).filter("response IS NOT NULL"))
-    again = judge.last_turn(judge.ask_missing(rows, path, Failing()).filter("response IS NOT NULL"))
-    assert first.count() == 20 and sorted(first.collect()) == sorted(again.collect())
+    first = judge.last_turn(judge.ask_missing(rows, path, judge.HashJudge()))
+    again = judge.last_turn(judge.ask_missing(rows, path, Failing()))
+    assert first.count() == 20 and first.filter("response IS NULL").isEmpty() and sorted(first.collect()) == sorted(again.collect())
+    tried = spark.createDataFrame([(1, 0, 1, None, "late"), (1, 0, 1, "yes", None), (1, 0, 0, "x", None), (2, 0, 1, None, "late")], judge.SCHEMA)
+    for order in (F.asc("error"), F.desc("error")):
+        assert {r.qa_id: r.response for r in judge.last_turn(tried.orderBy(order)).collect()} == {1: "yes", 2: None}
+
+    class Slow:
+        def ask(self, turns, salt, timeout):
+            import time
+
+            time.sleep(20 if salt.startswith("1|") else 0)
+            return turns
+
+    slow = judge.ask_all(rows.filter("qa_id < 3").coalesce(1), Slow(), timeout=0.5).collect()
+    assert {r.qa_id for r in slow if r.error} == {1} and {r.response for r in slow if not r.error} == {"q", "a"}
+
+
+def test_scores_that_are_missing_do_not_count(spark):
+    rows = spark.createDataFrame([("r", 0.9, 1), ("r", 0.1, 0), ("r", None, 1), ("r", float("nan"), 1), ("r", 0.5, None)], "run string, s double, y int")
+    curve = evaluate.roc_curve(rows, "run", "s", "y")
+    assert sorted((r.threshold, r.tp, r.fp) for r in curve.collect()) == [(0.1, 1, 1), (0.9, 1, 0), (float("inf"), 0, 0)]
+    counts = evaluate.confusion(rows, "run", "s", "y", evaluate.optimal_threshold(curve)).first()
+    assert (counts.threshold, counts.tp, counts.tn, counts.fp, counts.fn) == (0.9, 1, 1, 0, 0)
+
+
+def test_missing_and_empty_answers(spark):
+    rows = spark.createDataFrame([("q", None), ("q", ""), ("q (are)", "a"), (None, "a"), ("q", "No information found.")], "q string, a string")
+    assert sorted(tuple(r) for r in datasets.good_pairs(rows, "q", "a").collect()) == [("q", ""), ("q", "a")]
+
+
+def test_generation(spark, tmp_path):
+    with pytest.raises(ValueError, match="nope"):
+        generate.check_model("nope", ["a", "b"])
+    with pytest.raises(Exception, match="no such model"):
+        generate.checked_models(spark.createDataFrame([("nope",)], "m string"), "m", ["a"]).collect()
+    rows = spark.createDataFrame([(1, "c", "q", "a"), (2, "c", "q2", "b")], "id long, context string, question string, right_answer string")
+    asked = generate.stage_prompts(rows, "id", "[C] [Q]\n[next]\n[A]", [("[C]", F.col("context")), ("[Q]", F.col("question")), ("[A]", F.col("right_answer"))])
+    assert sorted((r.qa_id, r.turns) for r in asked.collect()) == [(1, ["c q", "a"]), (2, ["c q2", "b"])]
+    responses = judge.ask_missing(asked, str(tmp_path / "r"), judge.HashJudge())
+    assert generate.regenerated(rows, responses, "id").filter("right_answer LIKE '%erdict%'").count() == 2
+    strict = spark.createDataFrame([(1, 0, 0, "One. It may hallucinate. The context! Two.", None)], judge.SCHEMA)
+    got = {r.id: r.hallucinated_answer for r in generate.hallucinated(rows, strict, "id", strict=True).collect()}
+    assert got == {1: "One. Two.", 2: None}
+    listed = spark.createDataFrame([(1, 'x [{"question":"q","right_answer":["a","b"],"hallucinated_answer":"h"}]'), (2, '[{"question":"q"}]'), (3, None)], "id long, r string")
+    docs = generate.documents_of_pairs(listed, "id", "r")
+    assert {r.id: r.ok for r in docs.collect()} == {1: True, 2: False, 3: False}
+    assert [tuple(r) for r in generate.pairs(docs, "id").collect()] == [(1, 0, "q", "a; b", "h")]
+    few = spark.createDataFrame([("s", "f1", 1), ("s", "f1", 2), ("t", "f2", 3), ("t", "f3", 4)], "s string, f string, id int")
+    with pytest.raises(ValueError, match="s: fewer than 2"):
+        sampling.stratified(few, "s", "f", "id", 2, "x", strict=True)
+    assert sampling.stratified(few, "s", "f", "id", 1, "x", strict=True).count() == 2
+
+
+def test_run_tables_and_arrays(spark, tmp_path):
+    path, ticks = str(tmp_path / "runs"), iter([100.0, 3761.5, 200.0])
+    runs.recorded_run(spark, path, "a", "Detect", {"model": "m", "limit": None}, lambda: 1, clock=lambda: next(ticks))
+    with pytest.raises(ZeroDivisionError):
+        runs.recorded_run(spark, path, "b", "Detect", {}, lambda: 1 // 0, clock=lambda: next(ticks))
+    table = spark.read.schema(runs.RUNS).parquet(path)
+    assert {r.run_id: (r.seconds, bool(r.error)) for r in table.collect()} == {"a": (3661.5, False), "b": (None, True)}
+    logs = table.select(runs.log_text(F.col("title"), F.col("settings"), F.col("started"), F.col("seconds")).alias("content"))
+    assert [tuple(r) for r in runs.total_time(logs).collect()] == [(1, 3661.5, "1 hours and 1 minutes")]
+    runs.record_trials(spark.createDataFrame([(1, 0, 0, "x", None)], judge.SCHEMA), str(tmp_path / "trials"), "a")
+    assert spark.read.schema(runs.TRIALS).parquet(str(tmp_path / "trials")).first().run_id == "a"
+    rows = spark.range(7).select("id", F.when(F.col("id") > 2, F.concat(F.lit('a"\n'), "id")).alias("t"))
+    for parts in (1, 3, 9):
+        files.write_json_arrays(rows.repartition(parts), str(tmp_path / "j"))
+        assert sorted((r.id, r.t) for r in files.json_arrays(spark, str(tmp_path / "j"), "id long, t string").collect()) == sorted((r.id, r.t) for r in rows.collect())
+        assert all(len(json.loads(r.content)) >= 0 for r in files.whole_files(spark, str(tmp_path / "j")).collect())
 
 
 def test_prompts(spark):

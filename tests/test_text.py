@@ -66,7 +66,8 @@ def test_codes_and_json(spark):
 
 def test_labels_and_paths(spark):
     label = lambda f: one(spark, f, text.run_label)
-    assert label("out/nocot_medical_m.json") == "BCV Medical" and label("cot_agnostic.json") == "BCV-CoT Agnostic" and label("sca.json") == "SCA Unknown" and label("x/plain.json") == "BCV Unknown"
+    assert label("out/nocot_medical_m.json") == "BCV (Medical)" and label("cot_agnostic.json") == "BCV-CoT (Agnostic)" and label("sca.json") == "SCA (Unknown)" and label("x/plain.json") == "BCV (Unknown)"
+    assert label("o/SCA_medical_m.json") == "BCV (Medical)" and label("x.sca") == "BCV (Unknown)" and label("medical/sca.x.json") == "SCA (Unknown)"
     assert one(spark, "a/b_c_llama2-13b.json", text.model_name) == "llama2-13b"
     assert text.output_path("data/x.json", "m:7b") == "data/x_m-7b.json"
     assert one(spark, 3725.0, text.duration, "double") == "1 hours and 2 minutes"
@@ -92,3 +93,8 @@ def test_reports_without_documents(spark):
     assert datasets.join_reports(reports, qa, "id", "question").count() == 1
     with pytest.raises(ValueError):
         datasets.join_reports(reports, qa, "id", "question", strict=True)
+
+
+def test_fixed(spark):
+    number = lambda x: one(spark, x, lambda c: text.fixed(c.cast("double"), 3))
+    assert [number(x) for x in ("0.0625", "2", "0.6666666", "1e3", "NaN", "-0.0004", None)] == ["0.062", "2.000", "0.667", "1000.000", None, "0.000", None]
