@@ -1,33 +1,44 @@
 """Main text of web pages by wrapper induction.
 
 All pages of a host are aligned, in batches of at most BATCH, with the batch's
-page of median length by simple tree matching. How many pages have a text block
-in the same place, saying the same, is added up over all batches; blocks with a
-share of SUPPORT of the host's pages are its template. Other nodes are its slots.
-The wrapper is the set of template texts and the path of the deepest element that
-holds most of the slots' text, over all batches.
-
-On a page, an article or main element wins over the wrapper's path, as a menu that
-changes from page to page isn't content. In pages without such an element, the
-wrapper's path is the container. Template nodes go in either case; but inside an
-article or main element only those that FIRM pages have, and none if nothing
-would be left. In either case, menus, headers, footers, side bars,
-notices, adverts, forms, comments, scripts and styles inside it go by tag, role
-and class; an article that is in no other article is never judged by its class.
+page of median length by simple tree matching. How many pages have a text unit
+in the same place, saying the same, is added up over all batches; units with a
+share of SUPPORT of the host's pages are its template. Other text is in slots.
+The wrapper is the template and the path of the deepest element that holds most
+of the slots' text and of their headings, over all batches; article and main
+elements are never gone below.
+
+On a page, the elements at the wrapper's path are the container, or the articles in it if
+they hold most of its text, and what is in the template goes; in article and main elements only what FIRM pages have, and nothing if
+nothing would be left. Pages that lack the path, and hosts with one page, take
+their outermost article elements, else the main element, else the body. In either
+case menus, headers, footers, side bars, notices, adverts, forms, comments, scripts
+and styles inside go by tag, role and class: by any part of a name in STRONG, or
+if all parts of all names are in WEAK or SHAPES. An outermost article is never judged
+by its class. The column chosen_by says what has chosen the container.
+
+Matching depends on the shape of subtrees alone, labels without text, so shapes
+are numbered and each pair of them is matched once; equal shapes match as they
+are, equal children at both ends go first, and the rest is one array operation for
+each child, halved recursively when its table would be large.
 
 Defined cases: null or empty html gives an empty text; a null url, or one
 without a host, is of the host ''; pages that were cut off are read as far as
-they go; an empty table gives an empty result.
+they go; neither depth nor number of children is limited; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +50,10 @@ BATCH = 16
 SUPPORT = 0.5
 #: Pages of a host that must say the same, besides, for a template inside articles.
 FIRM = 4
-#: Of the slots' text, what the container must hold.
-MOST = 0.6
+#: Of the slots' text, and of their headings, what the container must hold.
+MOST = 0.8
+#: Cells of a matching table that are held at once.
+CELLS = 1 << 22
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -49,35 +62,47 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 DROPPED = frozenset("script style noscript template head nav footer aside form button select input textarea iframe svg canvas object audio video dialog menu fieldset search".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond footer masthead copyright pagination pager widget widgets login signup skip".split())
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs comment comments disqus footer masthead pagination pager".split())
+WEAK = STRONG | frozenset("promo promoted promotion banner notice notices subscribe subscription toolbar share sharing social related recommended recommendations reply replies respond copyright widget widgets login signup skip header".split())
+SHAPES = frozenset("area bar block body bottom box btn button buttons col column container content cta footer form group head holder icon icons inner item items left link links list main nav new page panel post posts right row section site strip stories top unit wrap wrapper".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
+HEADINGS = frozenset(("h1", "h2"))
+NONE: dict = {}
+_WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "_text", "_label")
+    """path: a hash of the labels from the root down; shape: a number for the labels below, once ``Shapes`` has seen it."""
 
-    def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.children, self.parent, self._text, self._label = tag, attrs, [], parent, None, None
-
-    def label(self) -> str:
-        if self._label is None:
-            self._label = f"{self.tag}.{'.'.join(sorted((self.attrs.get('class') or '').split()))}"
-        return self._label
+    __slots__ = ("tag", "attrs", "children", "parent", "path", "label", "shape", "_said")
 
-    def text(self) -> str:
-        if self._text is None:
-            self._text = " ".join(" ".join(c if isinstance(c, str) else c.text() for c in self.children).split())
-        return self._text
+    def __init__(self, tag: str, attrs: dict, parent):
+        self.tag, self.attrs, self.children, self.parent, self.shape, self._said = tag, attrs, [], parent, -1, None
+        names = attrs.get("class") if attrs else None
+        self.label = f"{tag}.{'.'.join(sorted(names.split()))}" if names else tag
+        self.path = xxhash.xxh64_intdigest(self.label, parent.path) >> 1 if parent is not None else 0
 
     def elements(self) -> list:
-        return [c for c in self.children if isinstance(c, Node)]
+        return [c for c in self.children if c.__class__ is Node]
 
-    def path(self) -> tuple:
-        out, node = [], self
-        while node.parent is not None:
-            out.append(node.label())
-            node = node.parent
-        return tuple(reversed(out))
+    def text(self) -> str:
+        out, stack = [], [self]
+        while stack:
+            one = stack.pop()
+            if one.__class__ is str:
+                out.append(one)
+            else:
+                stack.append(" ")
+                stack.extend(reversed(one.children))
+                stack.append(" ")
+        return " ".join("".join(out).split())
+
+    def said(self) -> int:
+        """A hash of the text, 0 for none."""
+        if self._said is None:
+            text = self.text()
+            self._said = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 if text else 0
+        return self._said
 
 
 class _Builder(HTMLParser):
@@ -85,32 +110,43 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None)
         self.open = [self.root]
+        self.n_open: Counter = Counter()
+
+    def _pop(self, k: int) -> None:
+        for node in self.open[k:]:
+            self.n_open[node.tag] -= 1
+        del self.open[k:]
 
     def _close(self, tags, limits=frozenset()) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self._pop(k)
                 return
             if self.open[k].tag in limits:
                 return
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
+        if self.n_open["p"] and tag in CLOSES_P:
             self._close({"p"}, {"td", "th", "button", "object", "caption"})
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], LIMITS.get(tag, frozenset()))
-        node = Node(tag, dict(attrs), self.open[-1])
+        node = Node(tag, dict(attrs) if attrs else NONE, self.open[-1])
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        self._close({tag}, {"table"} if tag not in ("table", "article", "main", "body", "html", "div", "section") else frozenset())
+        if self.n_open[tag]:
+            self._close({tag}, {"table"} if tag not in ("table", "article", "main", "body", "html", "div", "section") else frozenset())
+
+    def updatepos(self, i, j):  # lines aren't counted
+        return j
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -123,23 +159,6 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def dropped(node: Node) -> bool:
-    """Whether tag, role, class or id say that it isn't content."""
-    tag, attrs = node.tag, node.attrs
-    if tag in DROPPED or attrs.get("role", "") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
-    if tag in WHOLE and tag != "article":
-        return False
-    if tag == "article" and not any(a.tag == "article" for a in above(node)):
-        return False
-    names = set(re.findall(r"[a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())) if "class" in attrs or "id" in attrs else set()
-    if tag == "header" or "header" in names:  # the header of an article holds its title
-        return not any(n.tag == "h1" for n in walk(node)) or not any(a.tag in ("article", "main") for a in above(node))
-    return bool(names & NAMES)
-
-
 def walk(node: Node):
     stack = [node]
     while stack:
@@ -148,168 +167,306 @@ def walk(node: Node):
         stack.extend(reversed(one.elements()))
 
 
-def above(node: Node):
-    while node.parent is not None:
-        node = node.parent
-        yield node
+def dropped(node: Node, inside: bool) -> bool:
+    """Whether tag, role, class or id say that it isn't content. inside: an article or main element is above it."""
+    tag, attrs = node.tag, node.attrs
+    if tag in DROPPED and tag != "header":
+        return True
+    names: list = []
+    if attrs:
+        if attrs.get("role", "") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+            return True
+        if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
+            return True
+        if "class" in attrs or "id" in attrs:
+            names = _WORD.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
+    if tag in WHOLE and (tag != "article" or not inside):
+        return False
+    if tag == "header" or "header" in names:  # the header of an article holds its title
+        return not inside or not any(n.tag == "h1" for n in walk(node))
+    return bool(names) and (any(n in STRONG for n in names) or (all(n in WEAK or n in SHAPES for n in names) and any(n in WEAK for n in names)))
 
 
 def visible(node: Node):
-    """Elements that aren't dropped, in page order."""
-    stack = [node]
+    """(element, whether an article or main element is above it) of those that aren't dropped, in page order."""
+    stack = [(node, False)]
     while stack:
-        one = stack.pop()
-        if not dropped(one):
-            yield one
-            stack.extend(reversed(one.elements()))
-
-
-def align(a: Node, b: Node, matched: dict) -> int:
-    """Simple tree matching of two elements; fills ``matched`` (node of a -> node of b) for the best match."""
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: Node, y: Node) -> tuple[int, list]:
-        key = (id(x), id(y))
-        if key not in pairs:
-            xs, ys = x.elements(), y.elements()
-            score = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            own = {}
-            for i, p in enumerate(xs, 1):
-                for j, q in enumerate(ys, 1):
-                    w = match(p, q)[0] if p.label() == q.label() else 0
-                    own[i, j] = w
-                    score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + w)
-            i, j, chosen = len(xs), len(ys), []
+        one, inside = stack.pop()
+        if not dropped(one, inside):
+            yield one, inside
+            below = inside or one.tag in ("article", "main")
+            stack.extend((c, below) for c in reversed(one.elements()))
+
+
+class Shapes:
+    """Numbers the shapes of subtrees, and matches each pair of shapes once."""
+
+    def __init__(self):
+        self.number: dict = {}
+        self.label: list[str] = []
+        self.below: list[tuple] = []
+        self.size: list[int] = []
+        self.known: dict = {}
+
+    def add(self, root: Node) -> None:
+        for node in reversed(list(walk(root))):  # children come before their parent
+            key = (node.label, tuple(c.shape for c in node.elements()))
+            k = self.number.get(key)
+            if k is None:
+                k = self.number[key] = len(self.label)
+                self.label.append(node.label)
+                self.below.append(key[1])
+                self.size.append(1 + sum(self.size[c] for c in key[1]))
+            node.shape = k
+
+    def match(self, x: int, y: int) -> tuple[int, list]:
+        """Simple tree matching of two shapes of one label: its size, and the pairs of their children."""
+        if x == y:
+            return self.size[x], [(k, k) for k in range(len(self.below[x]))]
+        found = self.known.get((x, y))
+        if found is None:
+            xs, ys = self.below[x], self.below[y]
+            # A child whose equal stands at the same end has no better match.
+            most, at = min(len(xs), len(ys)), 0
+            while at < most and xs[at] == ys[at]:
+                at += 1
+            end = 0
+            while end < most - at and xs[-1 - end] == ys[-1 - end]:
+                end += 1
+            pairs = [(k, k) for k in range(at)]
+            if at + end < most:
+                pairs += [(i + at, j + at) for i, j in self._pairs(xs[at : len(xs) - end], ys[at : len(ys) - end])]
+            pairs += [(len(xs) - k, len(ys) - k) for k in range(end, 0, -1)]
+            total = 1
+            for i, j in pairs:
+                total += self.match(xs[i], ys[j])[0]
+            found = self.known[x, y] = total, pairs
+        return found
+
+    def _weights(self, xs: tuple, ys: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, other = list(dict.fromkeys(xs)), list(dict.fromkeys(ys))
+        table = np.zeros((len(own), len(other)), np.int64)
+        for i, x in enumerate(own):
+            for j, y in enumerate(other):
+                if self.label[x] == self.label[y]:
+                    table[i, j] = self.match(x, y)[0]
+        at, to = {x: i for i, x in enumerate(own)}, {y: j for j, y in enumerate(other)}
+        return table, np.array([at[x] for x in xs]), np.array([to[y] for y in ys])
+
+    def _pairs(self, xs: tuple, ys: tuple) -> list:
+        table, rows, columns = self._weights(xs, ys)
+
+        def best(rows, columns, keep=False):
+            last = np.zeros(len(columns) + 1, np.int64)
+            every = [last]
+            for r in rows:
+                now = np.zeros_like(last)
+                np.maximum.accumulate(np.maximum(last[1:], last[:-1] + table[r, columns]), out=now[1:])
+                last = now
+                if keep:
+                    every.append(last)
+            return every if keep else last
+
+        out, stack = [], [(0, len(rows), 0, len(columns))]
+        while stack:
+            a, b, c, d = stack.pop()
+            if a == b or c == d:
+                continue
+            if (b - a) * (d - c) > CELLS and b - a > 1:
+                half = (a + b) // 2
+                cut = c + int(np.argmax(best(rows[a:half], columns[c:d]) + best(rows[half:b][::-1], columns[c:d][::-1])[::-1]))
+                stack += [(half, b, cut, d), (a, half, c, cut)]
+                continue
+            score, i, j, found = best(rows[a:b], columns[c:d], keep=True), b - a, d - c, []
             while i and j:
-                if own[i, j] and score[i][j] == score[i - 1][j - 1] + own[i, j]:
-                    chosen.append((xs[i - 1], ys[j - 1]))
+                w = table[rows[a + i - 1], columns[c + j - 1]]
+                if w and score[i][j] == score[i - 1][j - 1] + w:
+                    found.append((a + i - 1, c + j - 1))
                     i, j = i - 1, j - 1
                 elif score[i][j] == score[i - 1][j]:
                     i -= 1
                 else:
                     j -= 1
-            pairs[key] = (score[-1][-1] + 1, chosen)
-        return pairs[key]
-
-    total, _ = match(a, b)
-    stack = [(a, b)]
+            out += reversed(found)
+        return out
+
+
+def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of nodes in the largest matching of two trees with like roots."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # Python calls alone, which take no other stack
+    if shapes is None:
+        shapes = Shapes()
+        shapes.add(a)
+        shapes.add(b)
+    out, stack = [], [(a, b)]
     while stack:
         x, y = stack.pop()
-        matched[x] = y
-        stack.extend(pairs[id(x), id(y)][1])
-    return total
+        out.append((x, y))
+        xs, ys = x.elements(), y.elements()
+        if x.shape == y.shape:
+            stack.extend(zip(xs, ys, strict=True))
+        elif xs and ys:
+            stack.extend((xs[i], ys[j]) for i, j in shapes.match(x.shape, y.shape)[1])
+    return out
 
 
-def is_block_of_text(node: Node) -> bool:
-    return node.parent is not None and not any(c.tag in BLOCK for c in node.elements())
+def is_unit(node: Node) -> bool:
+    """An element with no blocks inside."""
+    return node.parent is not None and not any(c.__class__ is Node and c.tag in BLOCK for c in node.children)
 
 
 def counts(pages: list[str]) -> tuple[dict, dict]:
-    """What one batch of a host's pages says: (path, text) -> pages that have it there; path -> size of the slots' text below it."""
-    roots = sorted((parse(p) for p in pages), key=lambda r: (len(r.text()), r.text()))
-    first = roots.pop(len(roots) // 2)
-    agree = {n: 1 for n in walk(first) if n.text()}
+    """What one batch of a host's pages says.
+
+    (path, text) -> pages that have it there, both as hashes; (path, path above, tag) -> size of the slots' text below it and of their headings.
+    """
+    shapes, roots = Shapes(), [parse(p) for p in pages]
+    for r in roots:
+        shapes.add(r)
+    order = sorted(range(len(roots)), key=lambda k: (len(pages[k]), pages[k]))
+    first = roots[order[len(order) // 2]]
+    nodes = list(walk(first))
+    agree = {n: 1 for n in nodes if is_unit(n) and n.said()}
     for other in roots:
-        matched: dict = {}
-        align(first, other, matched)
-        for n, m in matched.items():
-            if n in agree and m.text() == n.text():
-                agree[n] += 1
+        if other is not first:
+            for n, m in align(first, other, shapes):
+                if n in agree and is_unit(m) and m.said() == n.said():
+                    agree[n] += 1
     same: dict = {}
     for n, k in agree.items():
-        if is_block_of_text(n):
-            key = ("/".join(n.path()), n.text())
-            same[key] = max(same.get(key, 0), k)
-    if not roots:
+        key = (n.path, n.said())
+        same[key] = max(same.get(key, 0), k)
+    if len(roots) < 2:
         return same, {}
-    varying = {n: 0 for n in walk(first)}
-    for n in varying:
-        constant = agree.get(n, 0) >= max(2, SUPPORT * (len(roots) + 1))
-        size = sum(len(c.strip()) for c in n.children if isinstance(c, str)) if not constant else 0
-        if size and not dropped(n) and not any(dropped(x) for x in above(n) if x.parent is not None):
-            for x in (n, *above(n)):
-                varying[x] += size
+    seen = {n for n, _ in visible(first)}
+    size = dict.fromkeys(nodes, 0)
+    heads = dict.fromkeys(nodes, 0)
+    for n in reversed(nodes):
+        if n in seen and agree.get(n, 0) < max(2, SUPPORT * len(roots)):
+            size[n] += sum(len(c.strip()) for c in n.children if c.__class__ is str)
+        if n.tag in HEADINGS:
+            heads[n] = size[n]
+        if n.parent is not None:
+            size[n.parent] += size[n]
+            heads[n.parent] += heads[n]
     sizes: dict = {}
-    for n, size in varying.items():
-        if size and n.elements():
-            sizes[n.path()] = max(sizes.get(n.path(), 0), size)
+    for n in nodes:
+        if size[n] and n.elements():
+            key = (n.path, n.parent.path if n.parent is not None else -1, n.tag)
+            old = sizes.get(key, (0, 0))
+            sizes[key] = max(old[0], size[n]), max(old[1], heads[n])
     return same, sizes
 
 
 def conclude(same: dict, sizes: dict, n_pages: int) -> dict:
-    """The wrapper of a host from the sums of its batches' counts."""
+    """The wrapper of a host from the sums of its batches' counts; with no slots, it has no container."""
     template = sorted(k for k, n in same.items() if n >= max(2, SUPPORT * n_pages))
-    container: tuple = ()
-    while total := sizes.get((), 0):
-        inner = [p for p, n in sizes.items() if len(p) == len(container) + 1 and p[:-1] == container and n >= MOST * total]
-        if not inner or (best := max(inner, key=lambda p: (sizes[p], p)))[-1].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "table"):
-            break
-        container = best
-    return {"template": template, "firm": [k for k in template if same[k] >= FIRM], "container": list(container)}
+    below: dict = {}
+    for (path, above, tag), n in sizes.items():
+        below.setdefault(above, []).append((n, path, tag))
+    at, tag, whole = None, "", sizes.get((0, -1, ""), (0, 0))
+    if whole[0]:
+        at = 0
+        while tag not in ("article", "main"):
+            inner = [x for x in below.get(at, ()) if x[0][0] >= MOST * whole[0] and x[0][1] >= MOST * whole[1] and x[2] not in ("p", "h1", "h2", "h3", "ul", "ol", "table")]
+            if not inner:
+                break
+            _, at, tag = max(inner)
+    return {"template": template, "firm": [k for k in template if same[k] >= FIRM], "container": at, "tag": tag}
 
 
 def induce(pages: list[str]) -> dict:
     """The wrapper of same-host pages: template texts by path, and the path of the content."""
     if len(pages) < 2:
-        return {"template": [], "firm": [], "container": []}
-    same, sizes = Counter(), Counter()
+        return {"template": [], "firm": [], "container": None, "tag": ""}
+    same, sizes = Counter(), {}
     for at in range(0, len(pages), BATCH):
-        for total, part in zip((same, sizes), counts(pages[at : at + BATCH]), strict=True):
-            total.update(part)
+        own, size = counts(pages[at : at + BATCH])
+        same.update(own)
+        for k, (n, h) in size.items():
+            old = sizes.get(k, (0, 0))
+            sizes[k] = old[0] + n, old[1] + h
     return conclude(same, sizes, len(pages))
 
 
-def main_element(root: Node, wrapper: dict) -> tuple[Node, bool]:
-    """The content's container, and whether the wrapper has chosen it."""
+def containers(root: Node, wrapper: dict) -> tuple[list[Node], str]:
+    """The elements that hold the content, in page order, and what has chosen them."""
     seen = list(visible(root))
-    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.attrs.get("role") == "main", lambda n: "articlebody" in (n.attrs.get("itemprop") or "").lower()):
-        found = [n for n in seen if wanted(n)]
-        if found:
-            return max(found, key=lambda n: len(n.text())), False
-    path = tuple(wrapper.get("container") or ())
-    if path:
-        found = [n for n in seen if n.path() == path]
-        if found:
-            return max(found, key=lambda n: len(n.text())), True
-    bodies = [n for n in seen if n.tag == "body"]
-    return (bodies[0] if bodies else root), True
+
+    def outermost(wanted) -> list[Node]:
+        out, taken = [], set()
+        for n, _ in seen:
+            if n.parent in taken or wanted(n):
+                if n.parent not in taken:
+                    out.append(n)
+                taken.add(n)
+        return out
+
+    path = wrapper.get("container")
+    if path is not None and (found := outermost(lambda n: n.path == path)):
+        if wrapper["tag"] not in ("article", "main"):
+            held = set(found)
+            inner = [a for a in outermost(lambda n: n.tag == "article") if any(x in held for x in above(a))]
+            if inner and len(_blocks(inner, set(), False)) >= MOST * len(_blocks(found, set(), False)):
+                return inner, "article"
+        return found, "wrapper"
+    for name, wanted in (("article", lambda n: n.tag == "article"), ("main", lambda n: n.tag == "main" or n.attrs.get("role") == "main"), ("main", lambda n: "articlebody" in (n.attrs.get("itemprop") or "").lower())):
+        if found := outermost(wanted):
+            return found, name
+    return outermost(lambda n: n.tag == "body") or [root], "body"
+
+
+def extracted(html: str | None, wrapper: dict | None = None) -> tuple[str, str]:
+    """The main text, and what has chosen its container."""
+    root, wrapper = parse(html), wrapper or {}
+    found, by = containers(root, wrapper)
+    whole = wrapper.get("tag") in ("article", "main") if by == "wrapper" else by != "body"
+    template = {tuple(x) for x in wrapper.get("firm" if whole else "template", ())}
+    text = _blocks(found, template, not whole)
+    return (text or _blocks(found, set(), False) if whole else text), by
 
 
 def main_text(html: str | None, wrapper: dict | None = None) -> str:
-    root = parse(html)
-    wrapper = wrapper or {}
-    main, by_wrapper = main_element(root, wrapper)
-    template = {tuple(x) for x in wrapper.get("template" if by_wrapper else "firm", ())}
-    return _blocks(main, template, by_wrapper) or ("" if by_wrapper else _blocks(main, set(), False))
+    return extracted(html, wrapper)[0]
 
 
-def _blocks(main: Node, template: set, inline: bool) -> str:
-    """The text below ``main`` without the template, of which inline elements only go if ``inline``."""
-    blocks, line = [], []
+def _blocks(found: list[Node], template: set, inline: bool) -> str:
+    """The text below the elements without the template, of which inline elements only go if ``inline``."""
+    blocks, line, places = [], [], {path for path, _ in template}
 
     def flush():
         if block := " ".join("".join(line).split()):
             blocks.append(block)
         line.clear()
 
-    stack: list = [main]
-    while stack:
-        one = stack.pop()
-        if one is None:
-            flush()
-        elif isinstance(one, str):
-            line.append(one)
-        elif one.tag == "br":
-            line.append(" ")
-        elif one is main or not dropped(one) and not (template and (inline or one.tag in BLOCK) and is_block_of_text(one) and ("/".join(one.path()), one.text()) in template):
-            if one.tag in BLOCK:
+    for main in found:
+        flush()
+        inside = main.tag in ("article", "main") or any(a.tag in ("article", "main") for a in above(main))
+        stack: list = [(main, inside)]
+        while stack:
+            one, inside = stack.pop()
+            if one is None:
                 flush()
-                stack.append(None)
-            stack.extend(reversed(one.children))
+            elif one.__class__ is str:
+                line.append(one)
+            elif one.tag == "br":
+                line.append(" ")
+            elif one is main or not dropped(one, inside) and not (one.path in places and (inline or one.tag in BLOCK) and is_unit(one) and (one.path, one.said()) in template):
+                if one.tag in BLOCK:
+                    flush()
+                    stack.append((None, False))
+                below = inside or one.tag in ("article", "main")
+                stack.extend((c, below) for c in reversed(one.children))
     flush()
     return "\n\n".join(blocks)
 
 
+def above(node: Node):
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) from rows (host, html). All pages are aligned, at most BATCH of a host at a time; a repeated page counts once."""
     pages = pages.filter("html IS NOT NULL AND html <> ''").select("host", "html", F.xxhash64("html").alias("hash"))
@@ -321,10 +478,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def count(batches):
         def told(host, group):
             same, sizes = counts(group)
-            rows = [(host, "same", p, t, n) for (p, t), n in same.items()] + [(host, "size", json.dumps(p), "", n) for p, n in sizes.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string()] * 4 + [pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "kind", "path", "text", "n"])
+            rows = [(host, p, t, None, n, 0) for (p, t), n in same.items()] + [(host, p, a, tag, n, h) for (p, a, tag), (n, h) in sizes.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "other", "tag", "n", "heads"])
 
         at, last, group = None, None, []
         for batch in batches:
@@ -339,19 +496,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if group:
             yield told(at[0], group)
 
-    sums = map_arrow(dealt, count, "host string, kind string, path string, text string, n long").groupBy("host", "kind", "path", "text").agg(F.sum("n").alias("n"))
+    # A row without a tag counts a text, with one it adds up what is below an element.
+    sums = map_arrow(dealt, count, "host string, path long, other long, tag string, n long, heads long").groupBy("host", "path", "other", "tag").agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"))
     sums = materialise(sums)
-    whole = sums.filter("kind = 'size' AND path = '[]'").select("host", F.col("n").alias("total"))
-    few = sums.join(sized(per_host), "host").join(sized(materialise(whole)), "host", "left")
-    few = few.filter(F.when(F.col("kind") == "same", (F.col("n") >= 2) & (F.col("n") >= SUPPORT * F.col("pages"))).otherwise(F.col("n") >= MOST * F.col("total")))
-    few = few.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("kind", "path", "text", "n")).alias("told"))
+    whole = materialise(sums.filter("other = -1 AND tag IS NOT NULL").select("host", F.col("n").alias("total")))
+    few = sums.join(sized(per_host), "host").join(sized(whole), "host", "left")
+    few = few.filter(F.when(F.col("tag").isNull(), (F.col("n") >= 2) & (F.col("n") >= SUPPORT * F.col("pages"))).otherwise(F.col("n") >= MOST * F.col("total")))
+    few = few.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("path", "other", "tag", "n", "heads")).alias("told"))
 
     def run(batches):
         for batch in batches:
             made = []
             for n_pages, told in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                same = {(x["path"], x["text"]): x["n"] for x in told if x["kind"] == "same"}
-                sizes = {tuple(json.loads(x["path"])): x["n"] for x in told if x["kind"] == "size"}
+                same = {(x["path"], x["other"]): x["n"] for x in told if x["tag"] is None}
+                sizes = {(x["path"], x["other"], x["tag"]): (x["n"], x["heads"]) for x in told if x["tag"] is not None}
                 made.append(json.dumps(conclude(same, sizes, n_pages)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "wrapper"])
 
@@ -359,7 +517,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
+    """One row per page: page_id, url, text, n_chars, chosen_by."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host.alias("host"))
     found = materialise(wrappers(rows.select("host", "html")))
@@ -368,14 +526,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches):
         last, wrapper = None, {}
         for batch in batches:
-            texts = []
+            texts, by = [], []
             for html, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if own != last:
                     last, wrapper = own, json.loads(own) if own else {}
-                texts.append(main_text(html, wrapper))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                text, chosen = extracted(html, wrapper)
+                texts.append(text)
+                by.append(chosen)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.string())], ["page_id", "url", "text", "n_chars", "chosen_by"])
 
-    return map_arrow(both, run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(both, run, "page_id long, url string, text string, n_chars long, chosen_by string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -30,17 +32,62 @@ def page(k, body):
 
 
 def test_wrapper_finds_template_and_slots():
-    wrapper = hx.induce([page(k, f"Story number {k}, quite long and different") for k in range(4)])
-    assert wrapper["container"][-1] == "div.story"
-    assert {t for _, t in wrapper["template"]} == {"Site name", "All rights reserved"}
-    assert hx.main_text(page(9, "New story"), wrapper) == "New story\n\nMore of 9 here"
+    pages = [page(k, f"Story number {k}, quite long and different") for k in range(4)]
+    wrapper = hx.induce(pages)
+    assert [n.label for n in hx.containers(hx.parse(pages[0]), wrapper)[0]] == ["div.story"]
+    said = {n.said(): n.text() for n in hx.walk(hx.parse(pages[0]))}
+    assert {said[t] for _, t in wrapper["template"]} == {"Site name", "All rights reserved"}
+    assert hx.extracted(page(9, "New story"), wrapper) == ("New story\n\nMore of 9 here", "wrapper")
 
 
-def test_tree_matching_is_largest():
-    a, b = hx.parse("<ul><li>1<li>2<li>3</ul>"), hx.parse("<ul><li>2</ul><p>")
-    matched = {}
-    assert hx.align(a, b, matched) == 3
-    assert len(matched) == 3
+def plain_matching(a, b):
+    """Size of the largest matching of two trees, by definition."""
+    if a.label != b.label:
+        return 0
+
+    def best(xs, ys):
+        return max(best(xs[1:], ys), best(xs, ys[1:]), best(xs[1:], ys[1:]) + plain_matching(xs[0], ys[0])) if xs and ys else 0
+
+    return 1 + best(a.elements(), b.elements())
+
+
+def random_tree(rng, depth=0):
+    return "".join(f"<{t}>{random_tree(rng, depth + 1) if depth < 3 else ''}</{t}>" for t in rng.choices(("div", "b", "i"), k=rng.randrange(5 - depth)))
+
+
+@pytest.mark.parametrize("cells", (1 << 22, 2))
+def test_tree_matching_is_largest(monkeypatch, cells):
+    monkeypatch.setattr(hx, "CELLS", cells)
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = hx.parse(random_tree(rng)), hx.parse(random_tree(rng))
+        pairs = hx.align(a, b)
+        assert len(pairs) == plain_matching(a, b)
+        assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+        to = dict(pairs)
+        for x, y in pairs:
+            assert x.label == y.label and (x.parent is None or to[x.parent] is y.parent)
+            own = [y.elements().index(to[c]) for c in x.elements() if c in to]
+            assert own == sorted(own)
+
+
+def test_long_lists_and_deep_pages():
+    rng, start = random.Random(8), time.process_time()
+    lists = ["<ul>" + "".join(rng.choice(("<li>x</li>", "<li><b>x</b></li>", "<li><i>x</i><b></b></li>", "<p>y</p>")) for _ in range(5000)) + "</ul>" for _ in range(2)]
+    assert len(hx.align(*map(hx.parse, lists))) > 5000 and time.process_time() - start < 15  # 1 to 2 s on a free machine
+    for depth in (399, 20_000):
+        deep = "<div>" * depth
+        assert hx.main_text(f"{deep}hello<div class='ad'>AD</div>") == "hello"
+        assert len(hx.align(hx.parse(deep + "a"), hx.parse(deep + "<p>b"))) == depth + 1
+
+
+def test_nothing_of_the_article_is_lost():
+    two = "<body><article><p>short</p></article><div class='ad'>x</div><article class='a'><p>the longer one</p></article></body>"
+    assert hx.main_text(two) == "short\n\nthe longer one"
+    wrapper = hx.induce([two.replace("short", f"short {k}").replace("longer", f"longer {k}") for k in range(6)])
+    assert hx.extracted(two, wrapper)[0] == "short\n\nthe longer one"
+    kept = "<article><p>a</p><section class='social history'><p>b</p></section><div class='share-buttons'>c</div><div class='sidebar x'>d</div><div class='related posts'>e</div></article>"
+    assert hx.main_text(kept) == "a\n\nb"
 
 
 def test_pages(spark, sf_dir):
@@ -51,6 +98,11 @@ def test_pages(spark, sf_dir):
     got = {r.page_id: r for r in hx.extract(pages).collect()}
     rows = pages.collect()
     assert len(got) == len(rows)
+    of_host = {}
+    for r in rows:
+        of_host.setdefault(r.url.split("/")[2].lower(), set()).add(r.html)
+    for r in rows:  # the wrapper decides every page of a host that has two pages
+        assert (got[r.page_id].chosen_by == "wrapper") == (len(of_host[r.url.split("/")[2].lower()]) > 1)
     for r in rows:
         inner = r.html.split("<article>")[1].split("</article>")[0]
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]+>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
