@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,13 +26,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset, in a folder of our own."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset, in a folder of our own, if all runs on this machine."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder. DataFrames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="quaestor-"))
         base = _own_folder[0]
-    return f"{base.rstrip('/')}/quaestor/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quaestor/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -46,6 +61,25 @@ def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS
     return F.broadcast(small) if n <= limit else small
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Sends a value of this package's types, of a size that is bounded, to the tasks; they need no copy of the package to read it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    """What ``share`` has sent, unpacked once in each worker."""
+    if not hasattr(shared, "opened"):
+        shared.opened = pickle.loads(shared.value)
+    return shared.opened
+
+
+def within_chars(sample: DataFrame, by: str, chars: int) -> DataFrame:
+    """Of a sample (id, text, ...) that is bounded in rows, those of each value of ``by`` whose texts fit in so many characters, in the order of hashes."""
+    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit("order"), "id"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)
+    return sample.withColumn("__so_far", so_far).filter(F.col("__so_far") <= chars).drop("__so_far")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. The quick path is for texts of ASCII only, where ``lower`` is the same."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -76,6 +110,7 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 #: Rows of an Arrow batch: texts are long, and a task holds a batch in the JVM and in Python.
+#: Its bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set).
 BATCH_ROWS = 1000
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.common import ascii_lower_sql, binary_values, free_name, map_arrow, materialise, read, sized, with_arrow_column
+from quaestor.llm.common import ascii_lower_sql, binary_values, free_name, map_arrow, materialise, opened, read, share, sized, with_arrow_column
 
 WINDOW = 13
 #: Contaminated: at least one word in so many is hit.
@@ -205,7 +205,7 @@ def _pass(rows: DataFrame, shared, columns: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = matches(shared.value, binary_values(batch.column(batch.num_columns - 1)))
+            found = matches(opened(shared), binary_values(batch.column(batch.num_columns - 1)))
             spans = pa.array([[{"first": a, "end": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
             new = [pa.array([f[0] for f in found], pa.int64()), spans, pa.array([sorted(f[2]) for f in found], pa.list_(pa.string()))]
             own = batch.schema.names[:-1]
@@ -221,10 +221,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _over_blocks(keyed: DataFrame, blocks) -> DataFrame:
     """For more than one block: (of, has, spans, items) of each id and text digest with a hit, written."""
-    context, parts = keyed.sparkSession.sparkContext, None
+    parts = None
     columns = _RESULT.replace("id long, ", "id long, key string, ")
     for automaton in blocks:
-        shared = context.broadcast(automaton)
+        shared = share(keyed.sparkSession, automaton)
         part = materialise(_pass(keyed, shared, columns).filter(F.size("items") > 0).dropDuplicates(["id", "key"]))
         parts = part if parts is None else parts.unionByName(part)
         shared.unpersist()
@@ -246,7 +246,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     blocks = automata(benchmark, item_col, item_text_col, window, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _pass(keyed.select("id", "text"), docs.sparkSession.sparkContext.broadcast(first), _RESULT)
+        return _pass(keyed.select("id", "text"), share(docs.sparkSession, first), _RESULT)
     found = _over_blocks(keyed, chain([first, second], blocks))
     count = with_arrow_column(keyed, "n_words", T.LongType(), lambda batch: pa.array([len(words(t)) for t in binary_values(batch.column(2))], pa.int64()))
     both = count.drop("text").join(sized(found), F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("has")), "left")
@@ -274,10 +274,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = automata(benchmark, item_col, item_text_col, window, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        rows, shared = docs, docs.sparkSession.sparkContext.broadcast(first)
+        rows, shared = docs, share(docs.sparkSession, first)
 
         def spans_of(batch):
-            return [(n, spans) for n, spans, _ in matches(shared.value, binary_values(batch.column(at)))]
+            return [(n, spans) for n, spans, _ in matches(opened(shared), binary_values(batch.column(at)))]
     else:
         of, has, spans = (free_name(docs, x) for x in ("of", "has", "spans"))
         found = _over_blocks(_keyed(docs, id_col, text_col), chain([first, second], blocks))
