@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm.bytegrams import GramTable, arrays, body, count_grams, mask, pieces, sums, threshold
-from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, read
+from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, opened, read, share
 
 DEPTH = 5
 HEAD_GRAMS = 1 << 20
@@ -43,7 +43,7 @@ HEAD_TOKENS = 200_000
 #: The documents with this remainder of crc32(id) are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Tokens a task holds before it sends their counts.
-_HELD = 600_000
+_HELD = 400_000
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -117,30 +117,36 @@ def _by_subtree(rows: DataFrame, top: int, made, schema: str) -> DataFrame:
     dealt = rows.withColumn("subtree", context).repartition("subtree").sortWithinPartitions("subtree")
 
     def run(batches):
-        held = None
+        held, size = [], 0
+
+        def joined():
+            return [np.concatenate(x) for x in zip(*held, strict=True)]
+
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(held[0]):
+            if not len(new[0]):
                 continue
-            done = int((held[-1] != held[-1][-1]).sum())  # the last subtree may go on in the next batch
-            if done >= 100_000:
-                yield made([x[:done] for x in held])
-                held = [x[done:] for x in held]
-        if held is not None and len(held[0]):
-            yield made(held)
+            done = int((new[-1] != new[-1][-1]).sum())  # the last subtree may go on in the next batch
+            if size and (done or new[-1][0] != held[-1][-1][-1]) and size + done >= 50_000:
+                held.append([x[:done] for x in new])
+                yield made(joined())
+                held, size, new = [], 0, [x[done:] for x in new]
+            held.append(new)
+            size += len(new[0])
+        if size:
+            yield made(joined())
 
     return map_arrow(dealt, run, schema)
 
 
 #: Bytes of context of the subtrees that are weighted and mixed in one place each.
-SUBTREE = 2
+SUBTREE = 3
 
 
 def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(code, bits), written: -log2 of the probability of each gram's byte after its context, from training counts (code, n).
 
-    Subtrees of two bytes of context are weighted first, each by itself; the levels
+    Subtrees of SUBTREE bytes of context are weighted first, each by itself; the levels
     above them are weighted and mixed by joins; then the subtrees are mixed.
     """
     top = min(SUBTREE, depth)
@@ -248,12 +254,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     lengths = code_lengths(grams, depth)
     least = threshold(grams, "uses", head_grams)
     frequent = grams.filter(F.col("uses") >= least).select("code").join(lengths, "code").select("code", "bits")
-    shared = spark.sparkContext.broadcast((known, Head(*arrays(frequent), depth)))
+    shared = share(spark, (known, Head(*arrays(frequent), depth)))
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, model = shared.value
+        known, model = opened(shared)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = binary_values(batch.column(2))
