@@ -79,7 +79,7 @@ def sums(values: np.ndarray, first: np.ndarray, end: np.ndarray, owner: np.ndarr
 class Tally:
     """Counts of grams, kept sorted and merged when the pending ones have become many."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.most, self.codes, self.counts, self.waiting, self.pending = most, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
     def add(self, grams: np.ndarray) -> None:
@@ -158,20 +158,6 @@ def shorter(grams: DataFrame, depth: int) -> DataFrame:
     return grams.groupBy(F.col("code").bitwiseAND(F.lit(mask(depth)).cast("long")).alias("code")).agg(F.sum("n").alias("n"))
 
 
-def largest_contexts(levels: list[DataFrame], most: int) -> list[DataFrame]:
-    """All grams of the most frequent contexts of each depth, at most ``most`` a depth; levels go from short to long.
-
-    A context is kept whole or not at all, and none without its shorter ones, as thresholds don't fall.
-    """
-    least, out = 1, []
-    context = F.shiftrightunsigned("code", 8).alias("context")
-    for level in levels:
-        totals = level.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        least = max(least, threshold(totals, "total", most, "kinds"))
-        out.append(level if least == 1 else level.join(totals.filter(F.col("total") >= least), F.shiftrightunsigned("code", 8) == F.col("context"), "left_semi"))
-    return out
-
-
 def arrays(df: DataFrame) -> list[np.ndarray]:
     """The columns of a table of bounded size, sorted by the first as an unsigned number."""
     table = df.toArrow()

@@ -8,8 +8,9 @@ shorter, in the end to 256 equally likely bytes (escape method C, no exclusion).
 The language with the shortest exact code length of the whole text wins.
 
 The trees are fitted on SAMPLE_DOCS documents of each language, chosen by a hash
-of the id at a rate that the counts of all training documents give; that bound
-is the one parameter that limits what is learned from. Prediction reads nothing
+of the id at a rate that the counts of all training documents give, and on whole
+documents only up to SAMPLE_CHARS characters; these bounds are the parameters that limit
+what is learned from. Prediction reads nothing
 but the text.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0; a
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm.bytegrams import BackoffModel, body, count_grams, mask
-from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, read
+from quaestor.llm.common import binary_values, id_remainder, map_arrow, materialise, opened, read, share, within_chars
 
 DEPTH = 4
 SAMPLE_DOCS = 1500
+#: Characters of all languages together.
+SAMPLE_CHARS = 1 << 24
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -75,7 +78,7 @@ def has_letter(text: bytes | None) -> bool:
     return text[:64].isalpha() or any(c.isalpha() for c in text.decode())
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], BackoffModel | None]:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], BackoffModel | None]:
     """Languages, sorted, and their model, from rows (id, lang, text)."""
     labelled = labelled.filter(F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -85,7 +88,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str
     number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])[F.col("lang")]
     rate = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample_docs / counts[name]))])[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(draw < rate).select(number.cast("int").alias("key"), "text")
+    sample = within_chars(labelled.filter(draw < rate), "lang", sample_chars // len(languages)).select(number.cast("int").alias("key"), "text")
     table = materialise(count_grams(sample, DEPTH, keys=len(languages))).toArrow()
     keys, codes, n = (table.column(c).to_numpy() for c in ("key", "code", "n"))
     return languages, build([(codes[keys == k].view(np.uint64), n[keys == k]) for k in range(len(languages))])
@@ -93,7 +96,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str
 
 def identify(docs: DataFrame, languages: list[str], model: BackoffModel | None, text_col: str = "text") -> DataFrame:
     """``docs`` (without the text) and lang_pred, score: the posterior of the winner for equal priors and one byte's mean code length taken 16 times."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     at = docs.columns.index(text_col)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + ["lang_pred string", "score double"])
 
@@ -104,11 +107,11 @@ def identify(docs: DataFrame, languages: list[str], model: BackoffModel | None,
             known = [i for i, t in enumerate(texts) if languages and has_letter(t)]
             if known:
                 bodies = [body(texts[i]) for i in known]
-                bits = shared.value.score(bodies)
+                bits = opened(shared).score(bodies)
                 best = bits.argmax(axis=1)
                 mean = bits / np.array([len(b) for b in bodies])[:, None]
-                share = np.exp2(16 * (mean - mean.max(axis=1, keepdims=True)))
-                scores[known] = share[np.arange(len(known)), best] / share.sum(axis=1)
+                weight = np.exp2(16 * (mean - mean.max(axis=1, keepdims=True)))
+                scores[known] = weight[np.arange(len(known)), best] / weight.sum(axis=1)
                 for i, k in zip(known, best.tolist(), strict=True):
                     names[i] = languages[k]
             own = [c for i, c in enumerate(batch.columns) if i != at]
