@@ -10,9 +10,10 @@ component stays, that with the largest id.
   at 0.8 pairs differ in about 10 of 64 bits and up to 16 or more.
 * Comparison: a group's texts, each sent once, meet in a task, which compares
   SimHash fingerprints of BITS bits by bit planes, as ``simhash`` does, and leaves
-  blocks beyond RADIUS; a pair at similarity 0.8 differs in 19 bits on the average,
-  with a deviation of 4, so RADIUS is 5 deviations away. Texts with a fingerprint
-  within the radius are compared by their whole sets, over an index of the shingles.
+  blocks beyond RADIUS; a pair at similarity 0.8 differs in 16 to 19 bits on the average,
+  with a deviation of 4, so RADIUS is 5 deviations away. That doesn't hold for a handful of
+  shingles (24 bits for 4 of 5), so sets below SMALL are compared whatever their fingerprints.
+  They and texts with a fingerprint within the radius are compared by their whole sets, over an index of the shingles.
   Only a spanning forest of the links leaves the task.
 * A group beyond SPLIT texts or SPLIT_CHARS characters is taken apart into its
   buckets, and buckets that are still too large into pairs of parts.
@@ -44,6 +45,8 @@ _draw = np.random.default_rng(SEED)
 FLIPS = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 ODD = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 BITS, RADIUS = 128, 40
+#: Sets with fewer shingles skip the fingerprints.
+SMALL = 16
 #: Texts, and characters of them, that one task compares with each other.
 SPLIT, SPLIT_CHARS = 4096, 1 << 24
 
@@ -114,9 +117,9 @@ def compare(fps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similari
     same = not sides.any()
     one = np.arange(n) if same else np.flatnonzero(sides == 1)
     two = np.arange(n) if same else np.flatnonzero(sides == 2)
-    wanted = np.zeros(len(one), bool)
+    wanted = sizes[one] < SMALL
     for at, _, bits in hits(prints[one], prints[two], RADIUS, upper=same):
-        wanted[at : at + len(bits)] = bits.any(axis=1)
+        wanted[at : at + len(bits)] |= bits.any(axis=1)
     if not wanted.any():
         return {}
     # An index of the sets: for each shingle, those that have it.

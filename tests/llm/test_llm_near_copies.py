@@ -42,6 +42,21 @@ def documents():
     return list(enumerate(docs + [None, "", " \n", "w1", "W1", "long " * 20000]))
 
 
+def test_fingerprints_hide_no_pair():
+    """Pairs at a similarity of 0.8, of small sets and larger ones: of 4 and 5 shingles, some differ in more than RADIUS bits."""
+    np, rng = near_copies.np, near_copies.np.random.default_rng(9)
+    beyond = 0
+    for common, a, b, times in ((4, 1, 0, 6000), (8, 1, 1, 500), (16, 4, 0, 500), (80, 10, 10, 300)):
+        for _ in range(times):
+            h = rng.integers(0, 2**64, common + a + b, dtype=np.uint64)
+            sets = [np.sort(h[: common + a]), np.sort(np.r_[h[:common], h[common + a :]])]
+            far = np.bitwise_count(near_copies.fingerprint(sets[0]) ^ near_copies.fingerprint(sets[1])).sum()
+            beyond += far > near_copies.RADIUS
+            assert near_copies.compare(np.array([1, 2]), np.array([0, 0]), sets) == {2: 1}
+            assert near_copies.compare(np.array([1, 2]), np.array([2, 1]), sets) == {2: 1}
+    assert beyond
+
+
 def test_stage_keeps_one_of_each_component(spark):
     docs = documents()
     df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in docs], SCHEMA)
