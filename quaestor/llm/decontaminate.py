@@ -4,12 +4,10 @@ Words are runs of a-z, 0-9 and characters beyond ASCII, after lower-casing A-Z.
 A window is WINDOW consecutive words of an item, or a whole item of fewer words;
 the words of a document that lie inside an occurrence of a window are hit.
 
-The automaton holds all items of a block of the benchmark; document words are
-streamed through it, and the longest match ending at each word tells which
-windows end there. Before, whole batches are screened: a rolling hash of every
-run of window length is looked up among the items' own, so only stretches that
-very likely match are streamed. The screen drops nothing that could match, and
-the automaton decides. Items are taken in blocks of at most BLOCK_WORDS words,
+The automaton holds all items of a block of the benchmark. Every word of every
+document is streamed through it, in many lanes at a time, and the longest match
+that ends at each word tells which windows end there. It is packed in arrays of
+some 60 bytes a benchmark word. Items are taken in blocks of at most BLOCK_WORDS words,
 each a broadcast of bounded size; for more than one block the documents are
 passed once a block and the findings are joined by id and text digest.
 
@@ -39,7 +37,10 @@ BLOCK_WORDS = 400_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
+_NO_KEY = np.uint64((1 << 64) - 1)
+#: A lane is so many windows long; so many lanes take their steps together.
+_LANE = 16
+_LANES = 4096
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -47,37 +48,138 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the windows that end in each state."""
+    """Generalised suffix automaton over word numbers, packed in arrays, with the windows that end in each state."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.number: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        coded = []
+        self.names: list[str] = sorted({name for name, text in items if text})
+        place = {name: k for k, name in enumerate(self.names)}
+        growing, coded = _Growing(), []
         for name, text in items:
             if text:
                 code = [self.number.setdefault(w, len(self.number) + 1) for w in text]
-                coded.append((name, code))
+                coded.append((place[name], np.array(code, np.int64)))
                 last = 0
                 for w in code:
-                    last = self._extend(last, w)
-        self.ends: dict[int, dict[int, set[str]]] = {}  # state -> window length -> items
-        hashes: dict[int, set[int]] = {}
+                    last = growing.extend(last, w)
+        self.len, self.link = np.array(growing.len, np.int32), np.array(growing.link, np.int32)
+        self.root = np.zeros(len(self.number) + 1, np.int32)
+        self.root[list(growing.next[0].keys())] = list(growing.next[0].values())
+        size = np.fromiter(map(len, growing.next), np.int64, len(growing.next))
+        source = np.repeat(np.arange(len(size)), size)
+        word = np.fromiter(chain.from_iterable(growing.next), np.uint64, int(size.sum()))
+        to = np.fromiter(chain.from_iterable(f.values() for f in growing.next), np.int32, int(size.sum()))
+        del growing
+        self._pack(source.astype(np.uint64) << np.uint64(32) | word, to)
+        self._mark(coded)
+
+    def _pack(self, key: np.ndarray, to: np.ndarray) -> None:
+        """Transitions in buckets of a hash of state and word: bucket b is from start[b] up to start[b + 1]."""
+        self.shift = np.uint64(64 - max(4, int(len(key)).bit_length()))
+        bucket = (key * _FACTOR) >> self.shift
+        order = np.argsort(bucket, kind="stable")
+        self.key, self.to = np.append(key[order], _NO_KEY), np.append(to[order], 0).astype(np.int32)
+        self.start = np.searchsorted(bucket[order], np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def _mark(self, coded: list[tuple[int, np.ndarray]]) -> None:
+        """Windows by the state in which they end; for each state, the nearest such state and the shortest window of its suffixes."""
+        triples = []
         for name, code in coded:
-            n = min(window, len(code))
-            hashes.setdefault(n, set()).update(rolling(np.array(code, np.uint64), n).tolist())
-            state = length = 0
-            for w in code:
-                state, length = self.step(state, length, w)
-                if length >= n:
-                    self.ends.setdefault(self._suffix(state, n), {}).setdefault(n, set()).add(name)
-        self.screen = {}
-        for n, found in hashes.items():
-            exact = np.array(sorted(found), np.uint64)
-            bits = np.zeros(1 << _BITS, bool)
-            bits[exact >> np.uint64(64 - _BITS)] = True
-            self.screen[n] = (bits, exact)
+            n = min(self.window, len(code))
+            state, length = self.stream(code)
+            at = state[length >= n]
+            while (deep := np.flatnonzero(self.len[self.link[at]] >= n)).size:
+                at[deep] = self.link[at[deep]]
+            triples.append(np.stack([at, np.full(len(at), n), np.full(len(at), name)], 1))
+        found = np.unique(np.concatenate(triples), axis=0) if triples else np.zeros((0, 3), np.int64)
+        self.end_state, self.end_n, self.end_name = (np.ascontiguousarray(found[:, k], np.int32) for k in range(3))
+        far = np.iinfo(np.int32).max
+        self.near, self.shortest = np.zeros(len(self.len), np.int32), np.full(len(self.len), far, np.int32)
+        self.near[self.end_state] = self.end_state
+        np.minimum.at(self.shortest, self.end_state, self.end_n)
+        near, shortest = self.near.tolist(), self.shortest.tolist()
+        for s, up in zip((order := np.argsort(self.len, kind="stable")[1:]).tolist(), self.link[order].tolist(), strict=True):
+            near[s] = near[s] or near[up]
+            shortest[s] = min(shortest[s], shortest[up])
+        self.near, self.shortest = np.array(near, np.int32), np.array(shortest, np.int32)
+
+    def _follow(self, state: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The state after word ``w``, 0 if there is none; for states but the root."""
+        key = state.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+        bucket = ((key * _FACTOR) >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        same = (self.key[at] == key) & (at < end)
+        out = np.where(same, self.to[at], 0)
+        left = np.flatnonzero(~same & (at + 1 < end))
+        while left.size:
+            at[left] += 1
+            same = self.key[at[left]] == key[left]
+            out[left[same]] = self.to[at[left[same]]]
+            left = left[~same]
+            left = left[at[left] + 1 < end[left]]
+        return out
+
+    def stream(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """After each word of a stream: the state, and the length of the longest match that ends there.
+
+        The stream is cut into lanes that take their steps together. A lane begins
+        window - 1 words early, so a length is exact up to the window, and at
+        least the window if the match is longer.
+        """
+        early = self.window - 1
+        span = _LANE * self.window
+        lanes = -(-len(code) // span)
+        padded = np.zeros(early + lanes * span, np.int64)
+        padded[early : early + len(code)] = code
+        states, lengths = np.zeros((lanes, span), np.int32), np.zeros((lanes, span), np.int32)
+        for first in range(0, lanes, _LANES):
+            some = np.arange(first, min(first + _LANES, lanes))
+            state, length = np.zeros(len(some), np.int32), np.zeros(len(some), np.int32)
+            for t in range(early + span):
+                w = padded[some * span + t]
+                to = self.root[w]
+                grown = (w > 0).astype(np.int32)  # every word that has a number follows the root
+                left = np.flatnonzero((state > 0) & (w > 0))
+                at, held = state[left], length[left]
+                while left.size:
+                    new = self._follow(at, w[left])
+                    ok = new > 0
+                    to[left[ok]] = new[ok]
+                    grown[left[ok]] = held[ok] + 1
+                    at = self.link[at[~ok]]
+                    held = self.len[at]
+                    left = left[~ok]
+                    deep = at > 0
+                    left, at, held = left[deep], at[deep], held[deep]
+                state, length = to, grown
+                if t >= early:
+                    states[first : first + len(some), t - early] = state
+                    lengths[first : first + len(some), t - early] = length
+        return states.reshape(-1)[: len(code)], lengths.reshape(-1)[: len(code)]
+
+    def match(self, code: np.ndarray) -> tuple[list[tuple[int, int, set[str]]], np.ndarray]:
+        """Windows found in a stream of word numbers (0: none): (first, end, items), and the mask of words hit."""
+        state, length = self.stream(code)
+        found, hit = [], np.zeros(len(code), bool)
+        for i in np.flatnonzero(self.shortest[state] <= length).tolist():
+            at, most = int(self.near[state[i]]), int(length[i])
+            while at:
+                a, b = np.searchsorted(self.end_state, [at, at + 1]).tolist()
+                for n in set(self.end_n[a:b].tolist()):
+                    if n <= most:
+                        found.append((i - n + 1, i + 1, {self.names[k] for k in self.end_name[a:b][self.end_n[a:b] == n].tolist()}))
+                        hit[i - n + 1 : i + 1] = True
+                at = int(self.near[self.link[at]])
+        return found, hit
+
+
+class _Growing:
+    """The automaton while words are added."""
+
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.len = [0], [0]
 
     def _add(self, length: int, link: int, follow: dict[int, int]) -> int:
         self.len.append(length)
@@ -85,78 +187,32 @@ class Automaton:
         self.next.append(follow)
         return len(self.len) - 1
 
+    def _lead(self, p: int, w: int, old: int | None, new: int) -> int:
+        """Along suffix links from ``p``, words ``w`` that lead to ``old`` lead to ``new``; gives the state that has another, -1 beyond the root."""
+        while self.next[p].get(w) == old:
+            self.next[p][w] = new
+            if not p:
+                return -1
+            p = self.link[p]
+        return p
+
     def _split(self, p: int, q: int, w: int) -> int:
         copy = self._add(self.len[p] + 1, self.link[q], dict(self.next[q]))
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = copy
-            p = self.link[p]
+        self._lead(p, w, q, copy)
         return copy
 
-    def _extend(self, last: int, w: int) -> int:
+    def extend(self, last: int, w: int) -> int:
         q = self.next[last].get(w)
         if q is not None:
             return q if self.len[q] == self.len[last] + 1 else self._split(last, q, w)
-        new, p = self._add(self.len[last] + 1, 0, {}), last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
-            p = self.link[p]
+        new = self._add(self.len[last] + 1, 0, {})
+        p = self._lead(last, w, None, new)
         if p >= 0:
             q = self.next[p][w]
             self.link[new] = q if self.len[q] == self.len[p] + 1 else self._split(p, q, w)
         return new
 
-    def step(self, state: int, length: int, w: int) -> tuple[int, int]:
-        """The longest suffix of the stream that occurs in an item, after word ``w``."""
-        while state and w not in self.next[state]:
-            state = self.link[state]
-            length = self.len[state]
-        to = self.next[state].get(w)
-        return (0, 0) if to is None else (to, length + 1)
-
-    def _suffix(self, state: int, n: int) -> int:
-        while self.len[self.link[state]] >= n:
-            state = self.link[state]
-        return state
-
-    def match(self, code: np.ndarray) -> tuple[list[tuple[int, int, set[str]]], np.ndarray]:
-        """Windows found in a stream of word numbers (0: none): (first, end, items), and the mask of words hit."""
-        stretch = np.zeros(len(code) + 1, np.int32)
-        for n, (bits, exact) in self.screen.items():
-            h = rolling(code, n)
-            at = np.flatnonzero(bits[h >> np.uint64(64 - _BITS)])
-            at = at[np.isin(h[at], exact)]
-            np.add.at(stretch, at, 1)
-            np.add.at(stretch, at + n, -1)
-        inside = np.cumsum(stretch[:-1]) > 0
-        edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-        found, hit = [], np.zeros(len(code), bool)
-        for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            state = length = 0
-            for i, w in enumerate(code[start:end].tolist(), start):
-                state, length = self.step(state, length, w)
-                at = state
-                while at > 0:
-                    for n, names in self.ends.get(at, {}).items():
-                        if n <= length:
-                            found.append((i - n + 1, i + 1, names))
-                            hit[i - n + 1 : i + 1] = True
-                    at = self.link[at]
-        return found, hit
-
-
-def rolling(code: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` numbers."""
-    m = len(code) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(m, np.uint64)
-    for k in range(n):
-        h *= _FACTOR
-        h += code[k : k + m]
-    h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
-
 
 def matches(automaton: Automaton, texts: list) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """For each text: its number of words, the spans (first, end) of words hit, and the items that hit them."""
@@ -165,7 +221,7 @@ def matches(automaton: Automaton, texts: list) -> list[tuple[int, list[tuple[int
         starts.append(len(code))
         code.extend(map(get, words(text), repeat(0)))
         code.append(0)  # no window spans two texts
-    stream = np.array(code, np.uint64)
+    stream = np.array(code, np.int64)
     found, hit = automaton.match(stream)
     ends = [*starts[1:], len(code)]
     items: dict[int, set[str]] = {}

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quaestor.llm import decontaminate as dc
@@ -82,3 +83,22 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "x", "", "", "")], SCHEMA)
     assert dc.findings(some, items).collect()[0]["items"] == []
     assert dc.decontaminate(some, items).count() == 1
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13])
+def test_longest_matches_of_a_stream(window):
+    rng = random.Random(window)
+    for kinds in (2, 3, 9):
+        say = lambda n: [b"w%d" % rng.randrange(kinds) for _ in range(n)]
+        items = [(str(k), say(rng.randrange(40))) for k in range(8)] + [("empty", [])]
+        automaton = dc.Automaton(items, window)
+        stream = [b"w%d" % rng.randrange(kinds + 1) for _ in range(3 * dc._LANE * window + 7)]  # some words in no item; more than one lane
+        inside = {tuple(t[i:j]) for _, t in items for i in range(len(t)) for j in range(i + 1, min(len(t), i + window) + 1)}
+        _, length = automaton.stream(np.array([automaton.number.get(w, 0) for w in stream]))
+        best = [max((n for n in range(1, min(window, i + 1) + 1) if tuple(stream[i - n + 1 : i + 1]) in inside), default=0) for i in range(len(stream))]
+        assert np.minimum(length, window).tolist() == best
+
+
+def test_no_items_match_nothing():
+    automaton = dc.Automaton([], 13)
+    assert dc.matches(automaton, [b"a b", None, b""]) == [(2, [], set()), (0, [], set()), (0, [], set())]
