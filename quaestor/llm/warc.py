@@ -10,7 +10,8 @@ The as-of join is two running maxima. Time is cut into BINS equal parts; the las
 full response of each URL and part is found by an aggregate, carried over the at
 most BINS parts of a URL by one window, and a second window runs within a part.
 So a URL with a third of all records is spread over as many tasks as its records
-have parts. Payloads aren't moved: a record carries its digest and id.
+have parts. Records that can't match are dealt out by their ids, and share a part
+with none that can. Payloads aren't moved: a record carries its digest and id.
 
 Defined cases: a null or empty URL, or a null date, matches nothing ('missing');
 ties in time go by record id; rows that repeat are resolved each; a revisit
@@ -97,24 +98,28 @@ def resolve_revisits(rows: DataFrame, bins: int = BINS) -> DataFrame:
     low, high = rows.agg(F.min("date"), F.max("date")).first()
     low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // bins))
     entries = F.array_sort(F.map_entries("headers"))
+    able = F.coalesce(F.col("canonical_url") != "", F.lit(False)) & F.col("date").isNotNull()
     full = F.when(
-        (F.col("status") == 200) & (F.col("canonical_url") != "") & F.col("date").isNotNull(),
+        (F.col("status") == 200) & able,
         F.struct(F.col("date").alias("date"), F.col("record_id").alias("id"), F.col("sha256").alias("sha256"), entries.alias("headers")),
     )
-    rows = rows.withColumn("full", full).withColumn("bin", F.floor((F.col("date") - low) / width).cast("int"))
+    # The part of a record that can't match has a negative bin, so it is none of those below.
+    of = F.when(able, F.col("canonical_url")).otherwise("")
+    bin_ = F.when(able, F.floor((F.col("date") - low) / width)).otherwise(-1 - F.pmod(F.xxhash64("record_id", "sha256"), F.lit(4096))).cast("int")
+    rows = rows.withColumn("full", full).withColumn("able", able).withColumn("of", of).withColumn("bin", bin_)
     # Parts with no full response take part too, so that each finds what is carried to it.
-    every = rows.filter("canonical_url <> '' AND date IS NOT NULL").groupBy("canonical_url", "bin").agg(F.max("full").alias("last"))
-    before = Window.partitionBy("canonical_url").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(F.col("canonical_url").alias("u"), F.col("bin").alias("b"), F.max("last").over(before).alias("carried"))
-    inside = Window.partitionBy("canonical_url", "bin").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    both = rows.join(carried, (F.col("canonical_url") == F.col("u")) & (F.col("bin") == F.col("b")), "left")
+    every = rows.filter("able").groupBy("of", "bin").agg(F.max("full").alias("last"))
+    before = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(F.col("of").alias("u"), F.col("bin").alias("b"), F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("of", "bin").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.join(carried, (F.col("of") == F.col("u")) & (F.col("bin") == F.col("b")), "left")
     both = both.withColumn("found", F.coalesce(F.max("full").over(inside), "carried"))
     theirs = F.map_from_entries("found.headers")
     tag = lambda m: F.regexp_replace(m["etag"], "^W/", "")
     agree = F.when(F.col("headers")["etag"].isNotNull(), F.coalesce(tag(F.col("headers")) == tag(theirs), F.lit(False))).when(
         F.col("headers")["last-modified"].isNotNull(), F.coalesce(F.col("headers")["last-modified"] == theirs["last-modified"], F.lit(False))
     )
-    matchable = F.col("canonical_url").isNotNull() & (F.col("canonical_url") != "") & F.col("date").isNotNull() & F.col("found").isNotNull()
+    matchable = F.col("able") & F.col("found").isNotNull()
     outcome = (
         F.when(F.col("status") == 200, "full")
         .when(F.coalesce(F.col("status"), F.lit(0)) != 304, "other")
