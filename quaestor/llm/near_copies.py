@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.common import binary_values, map_arrow, materialise, sized
-from quaestor.llm.components import components
+from quaestor.llm.components import beside, components
 from quaestor.llm.simhash import dealt_parts, forest, hits, keep_one
 
 SHINGLE = 5
@@ -201,7 +201,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialise(signed_texts(docs, id_col, text_col, shingle))
     roots = components(links(docs, rows, text_col, shingle, similarity)).withColumnRenamed("node", "fp")
     ids = rows.groupBy("fp").agg(F.max("id").alias("high"))
-    rooted = materialise(ids.join(roots, "fp", "left").select("fp", "high", F.coalesce("root", "fp").alias("root")))
-    keep = rooted.groupBy("root").agg(F.max("high").alias("keep_id"), F.count(F.lit(1)).alias("nodes"))
-    found = materialise(rooted.join(keep, "root").select("fp", "root", "keep_id"))
+    rooted = ids.join(roots, "fp", "left").select("fp", "high", F.coalesce("root", "fp").alias("root"))
+    found = materialise(beside(rooted, "root", "fp", keep_id=(F.max, "high")).select("fp", "root", "keep_id"))
     return keep_one(docs, rows.select("id", "fp"), found, lambda t: node(shingles(t, shingle)), id_col, text_col)

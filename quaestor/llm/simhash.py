@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaestor.llm.common import binary_values, free_name, map_arrow, materialise, read, sized, with_arrow_column
-from quaestor.llm.components import components
+from quaestor.llm.components import beside, components
 
 SHINGLE = 4
 RADIUS = 4
@@ -306,8 +306,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ends = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("keep_id"))
-    return rows, materialise(rooted.select("fp", "root").join(ends, "root").select("fp", "root", "component_id", "keep_id"))
+    found = beside(rooted, "root", "fp", component_id=(F.min, "low"), keep_id=(F.max, "high"))
+    return rows, materialise(found.select("fp", "root", "component_id", "keep_id"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

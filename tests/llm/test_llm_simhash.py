@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from quaestor.llm import simhash
-from quaestor.llm.components import components
+from quaestor.llm.components import SALTS, beside, components
 
 SCHEMA = "doc_id bigint, text string, fp string, id string, key string"
 
@@ -146,3 +148,21 @@ def test_empty(spark):
 def test_chain_is_one_component(spark):
     got = components(spark.createDataFrame([(k, k + 1) for k in range(-50, 200)], "a long, b long")).collect()
     assert {r.node for r in got} == set(range(-50, 201)) and {r.root for r in got} == {-50}
+
+
+def test_components_of_a_star_a_clique_and_null_ends(spark):
+    edges = [(5000, k) for k in range(1, 900)] + [(a, b) for a in range(6000, 6020) for b in range(6000, 6020)] + [(None, 3), (4, None), (None, None), (7000, 7000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in [*range(1, 900), 5000]} | {k: 6000 for k in range(6000, 6020)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_beside_deals_a_hot_key_to_many_parts(spark):
+    rows = [(0, k) for k in range(2000)] + [(k, -k) for k in range(1, 50)] + [(3, 7), (3, 7)]
+    df = beside(spark.createDataFrame(rows, "u long, v long"), "u", "v", low=(F.min, "v"), high=(F.max, "v"))
+    own = {}
+    for u, v in rows:
+        own.setdefault(u, []).append(v)
+    assert sorted(map(tuple, df.collect())) == sorted((u, v, min(own[u]), max(own[u])) for u, v in rows)
+    parts = spark.range(2000).select(F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("part")).groupBy("part").count().collect()
+    assert len(parts) == SALTS and max(r["count"] for r in parts) < 100
