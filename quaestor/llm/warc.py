@@ -141,28 +141,41 @@ def resolve_revisits(rows: DataFrame, bins: int = BINS) -> DataFrame:
     )
 
 
+#: Captures of each page in ``as_records``.
+CAPTURES = 4
+
+
 def as_records(pages: DataFrame) -> DataFrame:
-    """Pages as captures, one a second in order of id; a third of them not-modified answers. The tag of a URL changes every 50 seconds."""
-    revisit = F.pmod(F.col("page_id"), F.lit(3)) == 1
-    tag = F.substring(F.md5(F.concat_ws("|", canonical_url(F.col("url")), F.floor(F.col("page_id") / 50).cast("string")).cast("binary")), 1, 8)
-    date = F.col("page_id").cast("string")
-    full = F.create_map(F.lit("etag"), tag, F.lit("date"), date, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string"))
-    short = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), date, F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.lit("0"))
-    return pages.select(
-        F.col("page_id").alias("record_id"),
+    """Pages as captures, one a second in order of record_id, which is 4 * page_id + capture.
+
+    Of each page: 1 a full response; 2 a revisit with its tag, or without one if 7 divides the id; 3 a revisit with
+    another tag; and 0, before the response, a revisit of every fifth page. The tag of a URL changes every 50 pages.
+    """
+    page, capture = F.col("page_id"), F.col("capture")
+    tag = F.substring(F.md5(F.concat_ws("|", "canonical", F.floor(page / 50).cast("string")).cast("binary")), 1, 8).alias("tag")
+    known = pages.select("page_id", "url", canonical_url(F.col("url")).alias("canonical"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string").alias("size"))
+    each = known.select("page_id", "url", tag, "sha256", "size", F.explode(F.sequence(F.lit(0), F.lit(CAPTURES - 1))).alias("capture"))
+    each = each.filter((capture > 0) | (page % 5 == 0)).withColumn("record_id", page * CAPTURES + capture)
+    date = F.col("record_id").cast("string")
+    full = F.create_map(F.lit("etag"), F.col("tag"), F.lit("date"), date, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size"))
+    short = F.create_map(F.lit("date"), date, F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.lit("0"))
+    own = F.when(capture == 3, F.concat(F.lit("c"), F.col("tag"))).when((capture == 0) | (page % 7 != 0), F.concat(F.lit("W/"), F.col("tag")))
+    tagged = F.when(own.isNull(), short).otherwise(F.map_concat(short, F.create_map(F.lit("etag"), own)))
+    return each.select(
+        "record_id",
         "url",
-        F.col("page_id").alias("date"),
-        F.when(revisit, 304).otherwise(200).alias("status"),
-        F.when(revisit, short).otherwise(full).alias("headers"),
-        F.when(~F.coalesce(revisit, F.lit(False)), F.sha2(F.coalesce("html", F.lit("")), 256)).alias("sha256"),
+        F.col("record_id").alias("date"),
+        F.when(capture == 1, 200).otherwise(304).alias("status"),
+        F.when(capture == 1, full).otherwise(tagged).alias("headers"),
+        F.when(capture == 1, F.col("sha256")).alias("sha256"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a record; response_id is -1 where nothing was found."""
+    """The captures of every page; response_id is -1 where nothing was found."""
     found = resolve_revisits(as_records(read(spark, sf_dir, "pages")))
     text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(":", e["key"], e["value"]))), "|")
-    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "outcome", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "payload_sha256", text.alias("headers"))
+    return found.select("record_id", F.floor(F.col("record_id") / CAPTURES).alias("page_id"), "canonical_url", "outcome", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "payload_sha256", text.alias("headers"))
 
 
 SQL = r"""
@@ -173,16 +186,19 @@ c AS (SELECT *, regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1) AS
 d AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(o), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
   || regexp_replace(regexp_replace(substr(base, length(o) + 1), '/index\.html?$', '/'), '/+$', '')
   || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS canonical_url FROM c),
-e AS (SELECT *, page_id % 3 = 1 AS revisit, substr(md5(concat_ws('|', canonical_url, (page_id // 50)::VARCHAR)), 1, 8) AS tag,
-  sha256(coalesce(html, '')) AS sha, coalesce(strlen(html), 0) AS n FROM d),
-f AS (SELECT r.*, p.page_id AS pid, p.tag AS ptag, p.sha AS psha, p.n AS pn
-  FROM e r ASOF LEFT JOIN (SELECT * FROM e WHERE NOT revisit) p ON r.canonical_url = p.canonical_url AND r.page_id > p.page_id)
-SELECT page_id, canonical_url,
-  CASE WHEN NOT revisit THEN 'full' WHEN pid IS NULL THEN 'missing' WHEN tag = ptag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  CASE WHEN NOT revisit THEN page_id WHEN tag = ptag THEN pid ELSE -1 END AS response_id,
-  CASE WHEN NOT revisit THEN sha WHEN tag = ptag THEN psha END AS payload_sha256,
-  CASE WHEN NOT revisit THEN 'content-length:' || n || '|content-type:text/html|date:' || page_id || '|etag:' || tag
-    WHEN tag = ptag THEN 'cache-control:max-age=60|content-length:' || pn || '|content-type:text/html|date:' || page_id || '|etag:W/' || tag
-    ELSE 'cache-control:max-age=60|content-length:0|date:' || page_id || '|etag:W/' || tag END AS headers
-FROM f
+e AS (SELECT page_id, canonical_url, c, page_id * 4 + c AS rid, sha256(coalesce(html, '')) AS sha, coalesce(strlen(html), 0) AS n,
+  substr(md5(concat_ws('|', canonical_url, (page_id // 50)::VARCHAR)), 1, 8) AS t
+  FROM d, (VALUES (0), (1), (2), (3)) v(c) WHERE c > 0 OR page_id % 5 = 0),
+g AS (SELECT *, CASE WHEN c = 3 THEN 'c' || t WHEN c = 0 OR page_id % 7 <> 0 THEN t END AS tag FROM e),
+f AS (SELECT r.*, p.rid AS pid, p.t AS ptag, p.sha AS psha, p.n AS pn
+  FROM g r ASOF LEFT JOIN (SELECT * FROM g WHERE c = 1) p ON r.canonical_url = p.canonical_url AND r.rid > p.rid),
+o AS (SELECT *, CASE WHEN c = 1 THEN 'full' WHEN pid IS NULL THEN 'missing' WHEN tag IS NULL THEN 'unchecked' WHEN tag = ptag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  CASE WHEN c = 3 THEN '|etag:' || tag WHEN tag IS NOT NULL THEN '|etag:W/' || tag ELSE '' END AS own FROM f)
+SELECT rid AS record_id, page_id, canonical_url, outcome,
+  CASE WHEN c = 1 THEN rid WHEN outcome IN ('resolved', 'unchecked') THEN pid ELSE -1 END AS response_id,
+  CASE WHEN c = 1 THEN sha WHEN outcome IN ('resolved', 'unchecked') THEN psha END AS payload_sha256,
+  CASE WHEN c = 1 THEN 'content-length:' || n || '|content-type:text/html|date:' || rid || '|etag:' || t
+    WHEN outcome IN ('resolved', 'unchecked') THEN 'cache-control:max-age=60|content-length:' || pn || '|content-type:text/html|date:' || rid || CASE WHEN tag IS NULL THEN '|etag:' || ptag ELSE own END
+    ELSE 'cache-control:max-age=60|content-length:0|date:' || rid || own END AS headers
+FROM o
 """
