@@ -15,8 +15,12 @@ component stays, that with the largest id.
   shingles (24 bits for 4 of 5), so sets below SMALL are compared whatever their fingerprints.
   They and texts with a fingerprint within the radius are compared by their whole sets, over an index of the shingles.
   Only a spanning forest of the links leaves the task.
-* A group beyond SPLIT texts or SPLIT_CHARS characters is taken apart into its
-  buckets, and buckets that are still too large into pairs of parts.
+* A group beyond SPLIT texts or SPLIT_CHARS characters is dealt out in parts. HUBS of its
+  texts go to every part first, to be compared with all texts there. What they connect needs no
+  comparison within itself, so after that only the texts outside the largest such component are
+  compared, with each other and with that component, part by part. Work follows the
+  group's size where a group is copies of one text. Where more than WIDE parts are outside, the group's
+  buckets are compared instead, and those that are too large as pairs of parts.
 
 Defined cases: texts with equal sets are one node, so are all null and wordless
 texts; fewer words than a shingle give one shingle; null and repeated ids as in
@@ -47,8 +51,10 @@ ODD = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 BITS, RADIUS = 128, 40
 #: Sets with fewer shingles skip the fingerprints.
 SMALL = 16
-#: Texts, and characters of them, that one task compares with each other.
-SPLIT, SPLIT_CHARS = 4096, 1 << 24
+#: Texts, and characters of them, that make a part.
+SPLIT, SPLIT_CHARS = 512, 1 << 22
+#: Texts of a large group that are compared with all of it, and parts outside its main component up to which they are dealt as such.
+HUBS, WIDE = 16, 32
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -129,15 +135,21 @@ def compare(fps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similari
     ends = np.cumsum(np.bincount(column))
     starts, listed, rows = np.r_[0, ends[:-1]], owner[order], np.r_[0, np.cumsum(sizes)]
     shared = ends - starts > 1
-    a, b = [], []
+    a, b, part = [], [], np.arange(n)
     for i in one[wanted].tolist():
+        others = two[two > i] if same else two
+        others = others[part[others] != part[i]]  # what is connected already needs no other link
+        if not len(others):
+            continue
         own = column[rows[i] : rows[i + 1]]
         own = own[shared[own]]
         if not len(own):
             continue
         common = np.bincount(np.concatenate([listed[x:y] for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]), minlength=n)
-        others = two[two > i] if same else two
         near = others[common[others] * share.denominator >= (sizes[i] + sizes[others] - common[others]) * share.numerator]
+        if not len(near):
+            continue
+        part[np.isin(part, part[near])] = part[i]
         a.append(np.full(len(near), fps[i]))
         b.append(fps[near])
         if sum(map(len, a)) > 1_000_000:
@@ -153,26 +165,50 @@ def places(rows: DataFrame) -> DataFrame:
     return materialise(each.join(sized(shared), F.col("bucket") == F.col("of")).select("bucket", "hub", "fp").distinct())
 
 
-def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect all nodes of similar sets; rows: what ``signed_texts`` gives of ``docs``."""
-    members = places(rows)
-    # Nodes that share buckets, directly or over others, make a group.
-    grouped = components(members.select(F.col("hub").alias("a"), F.col("fp").alias("b"))).withColumnRenamed("node", "fp")
-    one = rows.groupBy("fp").agg(F.min(F.struct("hash", "chars")).alias("text"))
-    nodes = materialise(one.join(sized(materialise(grouped)), "fp").select("fp", F.col("root").alias("group"), "text.hash", "text.chars"))
-    n_parts = F.ceil(F.greatest(F.col("n") / SPLIT, F.col("size") / SPLIT_CHARS)).cast("int").alias("parts")
-    size = [F.count(F.lit(1)).alias("n"), F.sum("chars").alias("size")]
-    large = materialise(nodes.groupBy("group").agg(*size).filter((F.col("n") > SPLIT) | (F.col("size") > SPLIT_CHARS)).select("group"))
-    dealt = dealt_parts(nodes.join(sized(large), "group", "left_anti").select(F.col("group").alias("bucket"), "fp"), large.select(F.col("group").alias("bucket"), F.lit(1).alias("parts")).limit(0))
-    if not large.isEmpty():
-        inner = materialise(members.select("bucket", "fp").join(sized(materialise(nodes.join(sized(large), "group", "left_semi").select("fp", "chars"))), "fp"))
-        hot = materialise(inner.groupBy("bucket").agg(*size).select("bucket", n_parts).filter("parts > 1"))
-        dealt = dealt.unionByName(dealt_parts(inner.select("bucket", "fp"), hot))
-    # The text of each node comes once to its node, and from there to where it is compared.
-    text = F.col(f"`{text_col}`")
-    wanted = nodes.select("fp", F.col("hash").alias("h"), F.col("chars").alias("c"))
-    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("hash"), F.length(text).alias("chars"))
-    texts = texts.join(sized(wanted), (F.col("hash") == F.col("h")) & (F.col("chars") == F.col("c"))).groupBy("fp").agg(F.min("text").alias("text"))
+def n_parts(n, size):
+    return F.ceil(F.greatest(n / SPLIT, size / SPLIT_CHARS)).cast("int")
+
+
+def own_part(parts):
+    return F.pmod(F.xxhash64("fp"), parts).cast("int")
+
+
+def to_hubs(large: DataFrame) -> DataFrame:
+    """(key, p, q, side, fp) that bring HUBS texts of each group to all its parts; large: (group, fp, parts)."""
+    slot = F.pmod(F.xxhash64(F.lit("hub"), "fp"), F.lit(HUBS)).alias("slot")
+    hubs = large.groupBy("group", "parts", slot).agg(F.min("fp").alias("fp"))
+    each = hubs.select(F.col("group").alias("key"), F.lit(0).alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.lit(1).alias("side"), "fp")
+    return each.unionByName(large.select(F.col("group").alias("key"), F.lit(0).alias("p"), own_part(F.col("parts")).alias("q"), F.lit(2).alias("side"), "fp"))
+
+
+def outside(inside: DataFrame, linked: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, p, q, side, fp) of what is still to be compared in large groups; inside: (group, fp, chars), linked: the edges that are known."""
+    roots = materialise(components(linked))
+    labelled = inside.join(sized(roots), F.col("fp") == F.col("node"), "left").select("group", "fp", "chars", F.coalesce("root", "fp").alias("label"))
+    labelled = materialise(labelled)
+    main = labelled.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    marked = materialise(labelled.join(sized(materialise(main)), "group").select("group", "fp", "chars", (F.col("label") != F.col("main")).alias("rest")))
+    count = lambda on: n_parts(F.count_if(on), F.coalesce(F.sum(F.when(on, F.col("chars"))), F.lit(0)))
+    parts = materialise(marked.groupBy("group").agg(count(F.col("rest")).alias("rests"), count(~F.col("rest")).alias("mains")).filter("rests > 0"))
+    few = parts.filter(F.col("rests") <= WIDE)
+    rows = marked.join(sized(parts).filter(F.col("rests") <= WIDE), "group")
+    rest, kept = rows.filter("rest"), rows.filter("NOT rest")
+    among = dealt_parts(rest.select(F.col("group").alias("bucket"), "fp"), materialise(few.filter("rests > 1").select(F.col("group").alias("bucket"), F.col("rests").alias("parts"))))
+    key, upto = F.col("group").alias("key"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("k")
+    one = rest.select(key, own_part(F.col("rests")).alias("p"), "rests", upto("mains"), F.lit(1).alias("side"), "fp").withColumn("q", F.col("rests") + F.col("k"))
+    two = kept.select(key, upto("rests"), (F.col("rests") + own_part(F.col("mains"))).alias("q"), F.lit(2).alias("side"), "fp").withColumnRenamed("k", "p")
+    dealt = among.unionByName(one.select(*among.columns)).unionByName(two.select(*among.columns))
+    wide = materialise(parts.filter(F.col("rests") > WIDE).select("group"))
+    if wide.isEmpty():
+        return dealt
+    inner = materialise(members.select("bucket", "fp").join(sized(materialise(marked.join(sized(wide), "group", "left_semi").select("fp", "chars"))), "fp"))
+    hot = materialise(inner.groupBy("bucket").agg(n_parts(F.count(F.lit(1)), F.sum("chars")).alias("parts")).filter("parts > 1"))
+    # A number of its own for p, lest a bucket and a group of the same name meet.
+    return dealt.unionByName(dealt_parts(inner.select("bucket", "fp"), hot).withColumn("p", F.col("p") + (1 << 20)))
+
+
+def compared(dealt: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (a, b) that connect the similar sets of each (key, p, q); dealt: (key, p, q, side, fp), texts: (fp, text)."""
     met = dealt.join(texts, "fp").select("key", "p", "q", "side", "fp", "text")
     met = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
@@ -196,6 +232,31 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int
     return map_arrow(met, run, "a long, b long")
 
 
+def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect all nodes of similar sets; rows: what ``signed_texts`` gives of ``docs``."""
+    members = places(rows)
+    # Nodes that share buckets, directly or over others, make a group.
+    grouped = components(members.select(F.col("hub").alias("a"), F.col("fp").alias("b"))).withColumnRenamed("node", "fp")
+    one = rows.groupBy("fp").agg(F.min(F.struct("hash", "chars")).alias("text"))
+    nodes = materialise(one.join(sized(materialise(grouped)), "fp").select("fp", F.col("root").alias("group"), "text.hash", "text.chars"))
+    text = F.col(f"`{text_col}`")
+    every = docs.select(text.alias("text"), F.xxhash64(text).alias("hash"), F.length(text).alias("chars"))
+
+    def texts(of: DataFrame) -> DataFrame:
+        """The text of each node comes once to its node, and from there to where it is compared."""
+        wanted = of.select("fp", F.col("hash").alias("h"), F.col("chars").alias("c"))
+        return every.join(sized(wanted), (F.col("hash") == F.col("h")) & (F.col("chars") == F.col("c"))).groupBy("fp").agg(F.min("text").alias("text"))
+
+    large = materialise(nodes.groupBy("group").agg(n_parts(F.count(F.lit(1)), F.sum("chars")).alias("parts")).filter("parts > 1"))
+    whole = nodes.join(sized(large), "group", "left_anti").select(F.col("group").alias("key"), *[F.lit(0).alias(x) for x in ("p", "q", "side")], "fp")
+    if large.isEmpty():
+        return compared(whole, texts(nodes), similarity, shingle)
+    inside = materialise(nodes.join(sized(large), "group"))
+    first = materialise(compared(to_hubs(inside), texts(inside), similarity, shingle))
+    rest = outside(inside, first, members)
+    return first.unionByName(compared(whole.unionByName(rest), texts(nodes), similarity, shingle))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component, that with the largest id. Rows that share an id are told apart by their texts."""
     rows = materialise(signed_texts(docs, id_col, text_col, shingle))

@@ -65,16 +65,39 @@ def test_stage_keeps_one_of_each_component(spark):
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(docs)
 
 
-@pytest.mark.parametrize("split", (4096, 40))
-def test_hub_does_not_hide_other_pairs(spark, monkeypatch, split):
+@pytest.mark.parametrize("split, hubs, wide", ((4096, 16, 32), (40, 16, 32), (40, 2, 1)))
+def test_hub_does_not_hide_other_pairs(spark, monkeypatch, split, hubs, wide):
     """All nodes meet in one bucket, but only some pairs link, and not with its smallest node."""
     monkeypatch.setattr(near_copies, "buckets", lambda found: near_copies.np.zeros(min(1, len(found)), near_copies.np.int64))
-    monkeypatch.setattr(near_copies, "SPLIT", split)
+    for name, value in (("SPLIT", split), ("HUBS", hubs), ("WIDE", wide)):
+        monkeypatch.setattr(near_copies, name, value)
     docs = documents()
     df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in docs], SCHEMA)
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == plain_kept(docs)
 
 
+def test_hot_group_is_dealt_out(spark, monkeypatch):
+    """Copies of one text, a few of a chain that only touches them, and texts apart: no part holds the group, and none is lost."""
+    monkeypatch.setattr(near_copies, "buckets", lambda found: near_copies.np.zeros(min(1, len(found)), near_copies.np.int64))
+    monkeypatch.setattr(near_copies, "SPLIT", 30)
+    rng, base = random.Random(5), [f"w{k}" for k in range(100)]
+    docs = []
+    for k in range(300):
+        copy = list(base)
+        copy[rng.randrange(100)] = f"x{k}"
+        docs.append(" ".join(copy))
+    chain = list(base)
+    for k in range(20):
+        chain[k * 5 : k * 5 + 2] = [f"y{k}", f"z{k}"]
+        docs.append(" ".join(chain))
+    docs = list(enumerate(docs + [" ".join(f"v{k}w{j}" for j in range(40)) for k in range(10)]))
+    seen, dealt = [], near_copies.compared
+    monkeypatch.setattr(near_copies, "compared", lambda d, *rest: seen.append(d.groupBy("key", "p", "q").count().toPandas()["count"].max()) or dealt(d, *rest))
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in docs], SCHEMA)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == plain_kept(docs)
+    assert len(seen) == 2 and max(seen) < 120
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "A b c d e f"), (1, "something else altogether here now"), (None, "only without id"), (None, None), (7, "")]
     df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], SCHEMA)
