@@ -108,11 +108,8 @@ class Tally:
         return out
 
 
-def count_grams(rows: DataFrame, depth: int, keys: int = 0, lower: bool = True) -> DataFrame:
-    """(key, code, n) from rows (key, text); key is a number below ``keys``, or 0 with no such column.
-
-    Each task adds up its own grams before they are shuffled.
-    """
+def tally_grams(rows: DataFrame, depth: int, keys: int = 0, lower: bool = True) -> DataFrame:
+    """(key, code, n) from rows (key, text), to be added up; key is a number below ``keys``, or 0 with no such column."""
 
     def run(batches):
         tallies = [Tally() for _ in range(max(1, keys))]
@@ -134,7 +131,15 @@ def count_grams(rows: DataFrame, depth: int, keys: int = 0, lower: bool = True)
         for k in range(len(tallies)):
             yield from out(k)
 
-    return map_arrow(rows, run, "key int, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, run, "key int, code long, n long")
+
+
+def count_grams(rows: DataFrame, depth: int, keys: int = 0, lower: bool = True) -> DataFrame:
+    """(key, code, n) from rows (key, text), as ``tally_grams``, added up.
+
+    Each task adds up its own grams before they are shuffled.
+    """
+    return tally_grams(rows, depth, keys, lower).groupBy("key", "code").agg(F.sum("n").alias("n"))
 
 
 def threshold(counts: DataFrame, column: str, most: int, weight: str | None = None) -> int:

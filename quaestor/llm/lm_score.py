@@ -212,7 +212,7 @@ def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Head:
-    """Code lengths of the most frequent grams."""
+    """Code lengths of the most frequent grams, in one model or, a column each, in several."""
 
     def __init__(self, codes: np.ndarray, bits: np.ndarray, depth: int):
         self.codes, self.bits, self.depth, self.table = codes, bits, depth, None
@@ -221,10 +221,10 @@ class Head:
         """For each text: the bits of its grams that are here, and the other grams with how often they occur."""
         if self.table is None:  # once in each worker
             self.table = GramTable(self.codes)
-        total, rest = np.zeros(len(bodies)), [[] for _ in bodies]
+        total, rest = np.zeros((len(bodies), *self.bits.shape[1:])), [[] for _ in bodies]
         for grams, first, end, owner in pieces(bodies, self.depth):
             at = self.table.find(grams)
-            bits = self.bits[np.maximum(at, 0)] if len(self.bits) else np.zeros(len(grams))
+            bits = self.bits[np.maximum(at, 0)] if len(self.bits) else np.zeros((len(grams), *self.bits.shape[1:]))
             bits[at < 0] = 0
             sums(bits, first, end, owner, total)
             left = np.flatnonzero(at < 0)
